@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 WORD_END = "</w>"
 
-#: Words whose encoding a Python worker remembers (and half as many pieces between white space); at that number it starts
+#: Words whose encoding a Python worker remembers (and as many pieces between white space); at that number it starts
 #: afresh. Longer ones than LONGEST are encoded anew each time.
-CACHE_WORDS, LONGEST = 500_000, 64
+CACHE_WORDS, LONGEST = 400_000, 64
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 #: Entries of the pair table that a worker remembers.
@@ -77,9 +77,9 @@ class Tokenizer:
         pairs = {c: next((d for d in small if regex.match(rf"\U{ord(c):08x}", d, regex.I)), c) for c in regex.findall(r"\p{Lu}", unnamed)}
         self._lower = str.maketrans(pairs)
         self._specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
-        self._automaton = ahocorasick.Automaton()
+        self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for units, token in self._ids.items():
-            self._automaton.add_word(units, (token, len(units)))
+            self._automaton.add_word(units, token)
         self._automaton.make_automaton()
         self._seen: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
@@ -174,15 +174,21 @@ class Tokenizer:
         whole = self._ids.get(units)
         if whole is not None and self._known:
             return [whole]
-        n = len(units)
-        # iter() reports every token that ends at a position, from left to right: the last one seen at a start is its longest
-        longest: list[int | None] = [None] * (n + 1)
-        for end, (token, length) in self._automaton.iter(units):
-            longest[end - length + 1] = token
         lengths, shorter, pairs, together = self._lengths, self._shorter, self._pairs, self._together
-        closed: set[int] = set()
+        # one longest match after the other: if all neighbours fit, this is the encoding
+        longest = self._automaton.iter_long
+        n, at, before = len(units), 0, -1
         out: list[int] = []
-        at, token, before = 0, longest[0], -1
+        for end, token in longest(units):
+            if before >= 0:
+                fits = pairs.get((before, token))
+                if not (together(before, token) if fits is None else fits):
+                    break
+            out.append(token)
+            at, before = end + 1, token
+        else:
+            return out
+        closed: set[int] = set()
         while at < n:
             while token is not None:
                 end = at + lengths[token]
@@ -204,7 +210,8 @@ class Tokenizer:
                 continue
             out.append(token)
             at, before = end, token
-            token = longest[at]
+            if at < n:
+                token = next(longest(units, at))[1]
         return out
 
     def _word(self, word: str) -> bytes:
@@ -230,7 +237,7 @@ class Tokenizer:
         seen, word = self._seen.get, self._word
         got = b"".join([seen(w) or word(w) for w in split.findall(text)])
         if len(piece) <= LONGEST:
-            if len(self._pieces) >= CACHE_WORDS // 2:
+            if len(self._pieces) >= CACHE_WORDS:
                 self._pieces.clear()
             self._pieces[piece] = got
         return got
