@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WORD_END = "</w>"
 
 #: Words whose encoding a Python worker remembers (and as many pieces between white space); at that number it starts
@@ -306,6 +308,7 @@ def _digests(path: str):
 
 def code_round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Ids and decoded text stay in the worker; only digests leave it."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

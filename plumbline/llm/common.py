@@ -64,3 +64,10 @@ def paths(sf_dir: str, name: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(paths(sf_dir, name))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch, so that very long texts don't meet in one by the thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_training
+from .common import bounded_batches, in_training
 
 #: Bounds of the sample: documents a language (about), characters of each, characters a language, and languages.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS, LANGUAGES = 48, 3000, 24_000, 200
@@ -181,6 +181,7 @@ def learn(docs: DataFrame) -> tuple[tuple[str, str], ...]:
 
     Languages are counted first; then rows whose hash falls below a language's share are read, about ``SAMPLE_DOCS`` each.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:

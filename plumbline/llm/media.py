@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Pixels a row of a stored payload, three samples each.
 WIDTH = 64
 ROW = 3 * WIDTH
@@ -175,6 +177,7 @@ def describe(docs: DataFrame) -> DataFrame:
             names = [c.split()[0] for c in STORED.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STORED)
 
 
