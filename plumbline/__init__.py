@@ -1,0 +1 @@
+"""Spatial analytics over bags of low-dimensional points, as DataFrame plans."""
