@@ -88,4 +88,8 @@ def redacted(text: Column, spans: Column, names: tuple[str, ...]) -> Column:
         fresh = F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, x["s"] - state["at"]), F.element_at(tags, x["k"] + 1)))
         return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.when(x["s"] >= state["at"], fresh).otherwise(state["parts"]).alias("parts"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, add, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text)))))
+    def cut_out(found: Column) -> Column:
+        whole = F.aggregate(found, start, add, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+        return F.when(F.size(found) == 0, text).otherwise(whole)
+
+    return let(spans, cut_out)
