@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_training
+from .common import alone_in_worker, bounded_batches, in_training
 
 #: Bounds of the sample: documents a language (about), characters of each, characters a language, and languages.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS, LANGUAGES = 48, 3000, 24_000, 200
@@ -59,8 +59,8 @@ class Letters:
         keep = ~other
         keep[1:] |= ~other[:-1]
         last = ends - 1
+        keep[[0, *ends[:-1].tolist()]] = True
         keep[last] = False
-        keep[(ends[:-1])[other[ends[:-1]]] if len(texts) > 1 else slice(0, 0)] = True
         begins = np.concatenate([[0], np.cumsum(keep)[last]])
         return every[keep], begins
 
@@ -170,6 +170,7 @@ _parsers: dict[tuple, Parser] = {}
 
 def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     """The parser of some samples, built once in each Python process."""
+    alone_in_worker("lang_id", _parsers.clear)
     if samples not in _parsers:
         _parsers.clear()
         _parsers[samples] = Parser(dict(samples))
