@@ -28,17 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import alone_in_worker, bounded_batches
 
 WORD_END = "</w>"
 
 #: Words whose encoding a Python worker remembers (and as many pieces between white space); at that number it starts
 #: afresh. Longer ones than LONGEST are encoded anew each time.
-CACHE_WORDS, LONGEST = 400_000, 64
+CACHE_WORDS, LONGEST = 250_000, 64
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 #: Entries of the pair table that a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 200_000
 
 #: Tokens decoded at once.
 CHUNK_TOKENS = 1 << 18
@@ -281,6 +281,7 @@ _loaded: dict[str, Tokenizer] = {}
 
 def tokenizer(path: str) -> Tokenizer:
     """The tokenizer of a file, built once in each Python process."""
+    alone_in_worker("bpe", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Tokenizer(path)
     return _loaded[path]

@@ -71,3 +71,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
+
+
+_remembering: dict[str, Callable[[], None]] = {}
+
+
+def alone_in_worker(name: str, forget: Callable[[], None]) -> None:
+    """Called where an operator starts in a Python worker: what other operators still remember there is dropped."""
+    for other, drop in _remembering.items():
+        if other != name:
+            drop()
+    _remembering[name] = forget

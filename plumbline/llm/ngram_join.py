@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, small_side
+from .common import alone_in_worker, bounded_batches, cut, small_side
 from .components import components
 
 SHINGLE = 5
@@ -38,7 +38,7 @@ BLOCK = 256
 #: Rows of (key, id) that may be broadcast: some 40 bytes each.
 BROADCAST_KEYS = 250_000
 #: Shingles hashed together, and words whose hash a worker remembers.
-CHUNK, CACHE_WORDS = 1 << 18, 400_000
+CHUNK, CACHE_WORDS = 1 << 18, 250_000
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,6 +118,7 @@ def signatures(texts: list[str]) -> list[bytes | None]:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alone_in_worker("ngram_join", _words.clear)
     for batch in batches:
         texts: list[str] = []
         sigs: list[bytes | None] = []
@@ -190,6 +191,7 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (family, i, j, block, key, n, text) -> (a, b, links): links by text, and a spanning forest with null links."""
+    alone_in_worker("ngram_join", _words.clear)
     for rows in _groups(batches):
         h, counts = shingles([r[6] for r in rows])
         sets = [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])]
