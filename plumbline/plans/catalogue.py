@@ -165,15 +165,15 @@ def triangles(spark, d):
 
 
 @query(f"""{_with(PART_SQL, _TRI)} SELECT id,
- round(ax + ((cy - ay) * ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) - (b_y - ay) * ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay))) / (2.0 * ((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax))), 4) AS ux,
- round(ay + ((bx - ax) * ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) - (cx - ax) * ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))) / (2.0 * ((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax))), 4) AS uy,
+  ax + ((cy - ay) * ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) - (b_y - ay) * ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay))) / (2.0::DOUBLE * ((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax))) AS ux,
+ ay + ((bx - ax) * ((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)) - (cx - ax) * ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay))) / (2.0::DOUBLE * ((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax))) AS uy,
  round(acos(least(greatest(((bx - ax) * (cx - ax) + (b_y - ay) * (cy - ay)) / (sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) * sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay))), -1.0), 1.0)) * (180.0::DOUBLE / 3.14159::DOUBLE), 4) AS angle
  FROM tr WHERE abs((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) > 1""")
 def circumcentres(spark, d):
     t, a, b, c, _ = _triples(spark, d)
     t = t.filter(F.abs(G.triangle_area2(a, b, c)) > 1)
     u = G.circumcentre(a, b, c)
-    return t.select("id", F.round(u[0], 4).alias("ux"), F.round(u[1], 4).alias("uy"), F.round(G.angle_degrees(a, b, c), 4).alias("angle"))
+    return t.select("id", u[0].alias("ux"), u[1].alias("uy"), F.round(G.angle_degrees(a, b, c), 4).alias("angle"))
 
 
 # Boxes and balls
