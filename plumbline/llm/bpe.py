@@ -37,6 +37,30 @@ WORD_END = "</w>"
 CACHE_WORDS, LONGEST = 250_000, 64
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
+# Fixed values from the Unicode Character Database.
+#: Ranges of letters and digits that Unicode 16 added, which Python 3.13 does not know.
+UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139),
+    (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+#: Capitals of Unicode 16 and 17: first, last, and how far away the small letter is.
+NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+#: Marks that Unicode 10 to 15 gave a combining class, or a composition with what stands before them. The vocabulary's
+#: library normalises by Unicode 9, to which they are ordinary characters.
+NEW_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E),
+    (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF),
+    (0x1E4EC, 0x1E4EF),
+)
+
 #: Entries of the pair table that a worker remembers.
 PAIRS = 200_000
 
@@ -51,6 +75,16 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+BARRIER = re.compile("([" + "".join(f"{chr(first)}-{chr(last)}" for first, last in NEW_MARKS) + "])")
+
+
+def composed(text: str) -> str:
+    """NFC by Unicode 9."""
+    if not BARRIER.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join([unicodedata.normalize("NFC", part) for part in BARRIER.split(text)])
+
+
 class Tokenizer:
     """Encoder and decoder for one vocabulary file."""
 
@@ -67,17 +101,14 @@ class Tokenizer:
         self._load(model, {t["content"]: t["id"] for t in spec["added_tokens"]})
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._words = regex.compile(pattern)
-        # Letters and digits newer than Python's own character data are symbols to the vocabulary's library, yet it lowers
-        # their capitals.
-        unnamed = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
-        late = regex.findall(r"[\p{L}\p{N}]", unnamed)
-        self._late = frozenset(late)
-        self._beyond = regex.compile(f"[{min(late, default=chr(sys.maxunicode))}-{chr(sys.maxunicode)}]")
+        # Letters and digits newer than the vocabulary's library knows are symbols to it.
+        known = {c for first, last in UNICODE_16 for c in range(first, last + 1)}
+        late = regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if c not in known and unicodedata.category(chr(c)) == "Cn"))
+        self._lower = {c: c + by for first, last, by in NEW_CAPITALS for c in range(first, last + 1)}
+        self._late = frozenset([*late, *map(chr, self._lower)])
+        self._beyond = regex.compile(f"[{min(self._late)}-{chr(sys.maxunicode)}]")
         newer = "".join(rf"\U{ord(c):08x}" for c in late) or r"\U0010ffff"
         self._careful = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{newer}]]").replace(r"[\p{L}]", rf"[\p{{L}}--[{newer}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{newer}]]"), regex.V1)
-        small = regex.findall(r"\p{Ll}", unnamed) + ["\u0264", "\u019b"]
-        pairs = {c: next((d for d in small if regex.match(rf"\U{ord(c):08x}", d, regex.I)), c) for c in regex.findall(r"\p{Lu}", unnamed)}
-        self._lower = str.maketrans(pairs)
         self._specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for units, token in self._ids.items():
@@ -230,7 +261,7 @@ class Tokenizer:
         """Ids of a text without special tokens and, mostly, without white space."""
         piece = text
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = composed(text)
         # lower-casing goes character by character: a capital sigma has one small form wherever it stands
         text = text.replace("Σ", "σ").lower()
         split = self._words

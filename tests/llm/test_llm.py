@@ -84,6 +84,22 @@ def test_bpe_matches_the_library(edges):
     assert got[1]["n_tokens"] == 0 and got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_bpe_matches_the_library_on_all_of_unicode():
+    from random import Random
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    t = bpe.Tokenizer(vocabulary_path())
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}1{c}!{c}" for c in every[at : at + 200]) for at in range(0, 0x34000, 200)]
+    rnd = Random(5)
+    pools = [every[a:b] for a, b in ((0x20, 0x7F), (0x80, 0x250), (0x300, 0x370), (0x370, 0x1200), (0x1AB0, 0x2000), (0xA000, 0xB000), (0xF000, 0x1F000))]
+    texts += ["".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randint(1, 30))) for _ in range(4000)]
+    for text in texts:
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_every_token_spells_itself():
     t = bpe.Tokenizer(vocabulary_path())
     t._known = 0
