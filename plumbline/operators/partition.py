@@ -6,15 +6,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 
 #: Sampled points that each leaf's splits rest on, and the most leaves that splits are learned for at once.
 SAMPLE_A_LEAF, MOST_LEAVES = 16, 4096
-#: Deeper trees are walked through literal arrays; shallower ones are nested CASEs that stay in generated code.
-CASE_DEPTH = 6
+#: Trees up to this depth are nested CASEs, of which a row takes one path; deeper ones are walked through literal arrays.
+CASE_DEPTH = 9
 
 
 @dataclass
@@ -27,10 +27,10 @@ class Splits:
     def depth(self) -> int:
         return max((n.bit_length() for n in self.nodes), default=0)
 
-    def leaf(self, node: int = 1) -> Column:
+    def leaf(self) -> Column:
         """The leaf that a point falls in, as the number of its node."""
         if self.depth() <= CASE_DEPTH:
-            return self._case(node)
+            return self._case(1)
         size = 1 << self.depth()
         dim = F.array(*[F.lit(self.nodes[i][0] if i in self.nodes else -1) for i in range(size)])
         value = F.array(*[F.lit(float(self.nodes[i][1]) if i in self.nodes else 0.0) for i in range(size)])
@@ -162,19 +162,22 @@ def bounding_box(points: DataFrame, dims: Sequence[str], by: Sequence[str] = ())
     return points.groupBy(*by).agg(*boxes)
 
 
-def exact_split(points: DataFrame, dims: Sequence[str], levels: int, key: Sequence[str]) -> DataFrame:
-    """Diagnostic kd splits at exact medians, dimensions in turn: adds ``node``. Ranks are computed within nodes, so a level costs a sort."""
+def exact_split(points: DataFrame, dims: Sequence[str], levels: int) -> DataFrame:
+    """Diagnostic kd splits at exact medians, dimensions in turn: adds ``node``.
+
+    A level numbers the rows once to find the medians of its nodes, at most 2 ** level small rows that are joined back.
+    """
+    from plumbline.operators.ordering import value_at_rank
+
     rows = points.withColumn("node", F.lit(1).cast("long"))
     for level in range(levels):
         c = dims[level % len(dims)]
-        inside = Window.partitionBy("node")
-        rows = rows.withColumn("__r", F.row_number().over(inside.orderBy(c, *key)) - 1).withColumn("__n", F.count(F.lit(1)).over(inside))
-        middle = F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2), F.col(c))).over(inside)
-        least = F.min(c).over(inside)
-        rows = rows.withColumn("__m", middle).withColumn("__l", least)
-        above = F.min(F.when(F.col(c) > F.col("__m"), F.col(c))).over(inside)
-        rows = rows.withColumn("__v", F.when(F.col("__m") > F.col("__l"), F.col("__m")).otherwise(F.coalesce(above, F.col("__m"))))
-        rows = rows.withColumn("node", 2 * F.col("node") + F.when(F.col(c) < F.col("__v"), 0).otherwise(1)).drop("__r", "__n", "__m", "__l", "__v")
+        middle = value_at_rank(rows, "node", c, lambda n: F.floor(n / 2)).select(F.col("node").alias("__node"), F.col(c).alias("__m"))
+        beside = rows.join(F.broadcast(middle), F.col("node") == F.col("__node"))
+        ends = beside.groupBy("node").agg(F.first("__m").alias("__m"), F.min(c).alias("__l"), F.min(F.when(F.col(c) > F.col("__m"), F.col(c))).alias("__above"))
+        at = F.when(F.col("__m") > F.col("__l"), F.col("__m")).otherwise(F.coalesce("__above", "__m"))
+        rows = rows.join(F.broadcast(ends.select(F.col("node").alias("__node"), at.alias("__v"))), F.col("node") == F.col("__node"), "left")
+        rows = rows.withColumn("node", 2 * F.col("node") + F.when(F.col(c) < F.col("__v"), 0).otherwise(1)).drop("__node", "__v")
     return rows
 
 

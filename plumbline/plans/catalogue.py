@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.operators import graphs, knn, meshes, mutate, partition, ranges, reports
-from plumbline.operators.ordering import numbered
+from plumbline.operators.ordering import numbered, value_at_rank
 from plumbline.operators.partition import SpatialFrame
 from plumbline.sources import generators, tables
 from plumbline.sources.tables import DUPLICATES_SQL, EVENTS_SQL, LINEITEM_SQL, ORDERS_SQL, PART_SQL
@@ -44,17 +44,15 @@ def _with(*parts: str) -> str:
     return "WITH " + ", ".join(parts)
 
 
-# Query sets: the first parts or orders by id, a fixed share of the tables they search.
+# Query sets: the rows whose id is divisible by 100, against all rows.
 
-FIRST = 50
 
+def _asked(points: DataFrame) -> DataFrame:
+    return points.filter(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), *XY)
 
-def _first(points: DataFrame, n: int = FIRST) -> DataFrame:
-    return points.orderBy("id").limit(n).select(F.col("id").alias("qid"), *XY)
 
-
-def _first_sql(of: str, n: int = FIRST) -> str:
-    return f"q AS (SELECT id AS qid, x AS qx, y AS qy FROM {of} ORDER BY id LIMIT {n})"
+def _asked_sql(of: str) -> str:
+    return f"q AS (SELECT id AS qid, x AS qx, y AS qy FROM {of} WHERE id % 100 = 0)"
 
 
 def _knn_sql(points: str, k: int, where: str = "true") -> str:
@@ -190,17 +188,17 @@ def bbox_group(spark, d):
     return partition.bounding_box(li, XY, ["l_returnflag"])
 
 
-_BOXES = "b AS (SELECT id AS qid, x - 5 AS lx, x + 5 AS hx, y - 2000 AS ly, y + 2000 AS hy FROM pt ORDER BY id LIMIT 200)"
-_BALLS = "b AS (SELECT id AS qid, x AS cx, y AS cy, 50.0 + id AS r FROM pt ORDER BY id LIMIT 200)"
+_BOXES = "b AS (SELECT id AS qid, x - 5 AS lx, x + 5 AS hx, y - 2000 AS ly, y + 2000 AS hy FROM pt WHERE id % 100 = 0)"
+_BALLS = "b AS (SELECT id AS qid, x AS cx, y AS cy, 50.0 + id % 1000 AS r FROM pt WHERE id % 100 = 0)"
 
 
 def _boxes(spark, d):
-    p = tables.part(spark, d).orderBy("id").limit(200)
+    p = tables.part(spark, d).filter("id % 100 = 0")
     return p.select(F.col("id").alias("qid"), (F.col("x") - 5).alias("qlo_x"), (F.col("x") + 5).alias("qhi_x"), (F.col("y") - 2000).alias("qlo_y"), (F.col("y") + 2000).alias("qhi_y"))
 
 
 def _balls(spark, d):
-    return tables.part(spark, d).orderBy("id").limit(200).select(F.col("id").alias("qid"), F.col("x").alias("c_x"), F.col("y").alias("c_y"), (50.0 + F.col("id")).alias("radius"))
+    return tables.part(spark, d).filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("x").alias("c_x"), F.col("y").alias("c_y"), (50.0 + F.col("id") % 1000).alias("radius"))
 
 
 _COUNT_BOXES = f"{_with(LINEITEM_SQL, PART_SQL, _BOXES)} SELECT qid, count(id) AS n FROM b LEFT JOIN li ON x BETWEEN lx AND hx AND y BETWEEN ly AND hy GROUP BY qid"
@@ -283,10 +281,14 @@ def generated_boxes(spark, d):
 # Nearest neighbours
 
 
-@query(f"{_with(LINEITEM_SQL, _first_sql('li'))} {_knn_sql('li', 10)}")
+#: A line's id begins with its order's, which is what must be divisible.
+_LINES_ASKED = "q AS (SELECT id AS qid, x AS qx, y AS qy FROM li WHERE CAST(split_part(id, '-', 1) AS BIGINT) % 100 = 0)"
+
+
+@query(f"{_with(LINEITEM_SQL, _LINES_ASKED)} {_knn_sql('li', 10)}")
 def knn_lineitem(spark, d):
     p = tables.lineitem(spark, d)
-    return knn.pruned(SpatialFrame.build(p, XY, 256), _first(p), 10, "id")
+    return knn.pruned(SpatialFrame.build(p, XY, 256), tables.lineitem(spark, d, "l_orderkey % 100 = 0").select(F.col("id").alias("qid"), *XY), 10, "id")
 
 
 @query(f"{_with(PART_SQL, 'q AS (SELECT 0 AS qid, 25.0::DOUBLE AS qx, 1400.0::DOUBLE AS qy)')} {_knn_sql('pt', 5)}")
@@ -301,22 +303,22 @@ def _brute(points: DataFrame, queries: DataFrame, k: int, include_self: bool = T
     return knn.brute(p, q, k, G.dist2(_c(*XY), _c("qx", "qy")), include_self)
 
 
-@query(f"{_with(LINEITEM_SQL, _first_sql('li', 20))} {_knn_sql('li', 10)}")
+@query(f"{_with(PART_SQL, _asked_sql('pt'))} {_knn_sql('pt', 10)}")
 def knn_brute(spark, d):
-    p = tables.lineitem(spark, d)
-    return _brute(p, _first(p, 20), 10)
+    p = tables.part(spark, d)
+    return _brute(p, _asked(p), 10)
 
 
-@query(f"{_with(PART_SQL, _first_sql('pt', 200))} {_knn_sql('pt', 1)}")
+@query(f"{_with(PART_SQL, _asked_sql('pt'))} {_knn_sql('pt', 1)}")
 def knn_1(spark, d):
     p = tables.part(spark, d)
-    return knn.knn(p, _first(p, 200), 1, XY, "id")
+    return knn.knn(p, _asked(p), 1, XY, "id")
 
 
-@query(f"{_with(PART_SQL, _first_sql('pt', 100))} {_knn_sql('pt', 100)}")
+@query(f"{_with(PART_SQL, _asked_sql('pt'))} {_knn_sql('pt', 100)}")
 def knn_100(spark, d):
     p = tables.part(spark, d)
-    return knn.knn(p, _first(p, 100), 100, XY, "id")
+    return knn.knn(p, _asked(p), 100, XY, "id")
 
 
 @query(f"{_with(PART_SQL, 'q AS (SELECT id AS qid, x AS qx, y AS qy FROM pt)')} {_knn_sql('pt', 5)}")
@@ -339,34 +341,34 @@ def knn_bichromatic(spark, d):
     return knn.knn(c, s, 5, ["x"], "id")
 
 
-@query(f"{_with(PART_SQL, 'q AS (SELECT id AS qid, x + 500 AS qx, y + 20000 AS qy FROM pt ORDER BY id LIMIT 50)')} {_knn_sql('pt', 10)}")
+@query(f"{_with(PART_SQL, 'q AS (SELECT id AS qid, x + 500 AS qx, y + 20000 AS qy FROM pt WHERE id % 100 = 0)')} {_knn_sql('pt', 10)}")
 def knn_remote(spark, d):
     p = tables.part(spark, d)
-    return knn.knn(p, _first(p).select("qid", (F.col("x") + 500).alias("x"), (F.col("y") + 20000).alias("y")), 10, XY, "id")
+    return knn.knn(p, _asked(p).select("qid", (F.col("x") + 500).alias("x"), (F.col("y") + 20000).alias("y")), 10, XY, "id")
 
 
-@query(f"{_with(PART_SQL, ORDERS_SQL, _first_sql('od'))} {_knn_sql('pt', 10)}")
+@query(f"{_with(PART_SQL, ORDERS_SQL, _asked_sql('od'))} {_knn_sql('pt', 10)}")
 def knn_other_distribution(spark, d):
-    return knn.knn(tables.part(spark, d), _first(tables.orders(spark, d)), 10, XY, "id")
+    return knn.knn(tables.part(spark, d), _asked(tables.orders(spark, d)), 10, XY, "id")
 
 
-@query("""WITH q AS (SELECT vec_id AS qid, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS qe FROM embeddings ORDER BY vec_id LIMIT 20),
+@query("""WITH q AS (SELECT vec_id AS qid, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS qe FROM embeddings WHERE vec_id % 100 = 0),
 p AS (SELECT vec_id AS nid, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS pe FROM embeddings),
 d AS (SELECT qid, nid, list_sum(list_transform(list_zip(pe, qe), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist2 FROM q, p)
 SELECT qid, CAST(rank AS INTEGER) AS rank, nid, dist2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist2, nid) AS rank FROM d) WHERE rank <= 10""")
 def knn_high_dimensional(spark, d):
     e = tables.table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
     return knn.brute(e.select(F.col("vec_id").alias("nid"), "embedding"), q, 10, G.array_dist2(F.col("embedding"), F.col("qe")))
 
 
 _KTH = "SELECT qid, max(dist2) AS kth_dist2, count(*) AS found FROM ({}) GROUP BY qid"
 
 
-@query(f"{_with(PART_SQL, _first_sql('pt', 200))} {_KTH.format(_knn_sql('pt', 10))}")
+@query(f"{_with(PART_SQL, _asked_sql('pt'))} {_KTH.format(_knn_sql('pt', 10))}")
 def kth_distance(spark, d):
     p = tables.part(spark, d)
-    return knn.kth_distance(knn.knn(p, _first(p, 200), 10, XY, "id"))
+    return knn.kth_distance(knn.knn(p, _asked(p), 10, XY, "id"))
 
 
 _GRAPH = "SELECT qid AS src, nid AS dst, dist2 AS weight FROM ({})".format(_knn_sql("pt", 4))
@@ -481,24 +483,24 @@ def incremental_delete(spark, d):
     return spark.range(1, 10).select(F.col("id").alias("step")).join(F.broadcast(slices), F.col("k") >= F.col("step")).groupBy("step").agg(F.sum("n").alias("n"))
 
 
-@query(f"{_with(PART_SQL, _first_sql('pt'))} {_knn_sql('pt', 10)}")
+@query(f"{_with(PART_SQL, _asked_sql('pt'))} {_knn_sql('pt', 10)}")
 def knn_after_insert(spark, d):
     p = tables.part(spark, d)
     f = SpatialFrame.build(p.filter("id % 2 = 0"), XY)
-    return knn.pruned(f.insert(p.filter("id % 2 = 1")), _first(p), 10, "id")
+    return knn.pruned(f.insert(p.filter("id % 2 = 1")), _asked(p), 10, "id")
 
 
-@query(f"{_with(PART_SQL, _first_sql('pt'))} {_knn_sql('pt', 10, 'id % 4 <> 1')}")
+@query(f"{_with(PART_SQL, _asked_sql('pt'))} {_knn_sql('pt', 10, 'id % 4 <> 1')}")
 def knn_after_delete(spark, d):
     p = tables.part(spark, d)
     f = SpatialFrame.build(p, XY).delete(p.filter("id % 4 = 1"), ["id", "x", "y"])
-    return knn.pruned(f, _first(p), 10, "id")
+    return knn.pruned(f, _asked(p), 10, "id")
 
 
-@query(f"{_with(PART_SQL, _first_sql('pt'))} {_knn_sql('pt', 10)}")
+@query(f"{_with(PART_SQL, _asked_sql('pt'))} {_knn_sql('pt', 10)}")
 def knn_after_rebalance(spark, d):
     p = tables.part(spark, d)
-    return knn.pruned(SpatialFrame.build(p, XY, 4).rebalance(max(16, p.count() // 8)), _first(p), 10, "id")
+    return knn.pruned(SpatialFrame.build(p, XY, 4).rebalance(max(16, p.count() // 8)), _asked(p), 10, "id")
 
 
 _LAST = 29
@@ -545,12 +547,12 @@ n2 AS (SELECT n1.id, n1.x, n1.y, 2 * n1.node + CASE WHEN y < v THEN 0 ELSE 1 END
 
 @query(f"{_with(PART_SQL, _SPLIT)} SELECT id, CAST(node AS BIGINT) AS node FROM n2")
 def kd_split_exact(spark, d):
-    return partition.exact_split(tables.part(spark, d), XY, 2, ["id"]).select("id", "node")
+    return partition.exact_split(tables.part(spark, d), XY, 2).select("id", "node")
 
 
 @query(f"{_with(PART_SQL, _SPLIT)} SELECT CAST(node AS BIGINT) AS node, count(*) AS n, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, 2 AS depth FROM n2 GROUP BY node")
 def leaf_stats(spark, d):
-    return partition.zone_map(partition.exact_split(tables.part(spark, d), XY, 2, ["id"]), XY, "node")
+    return partition.zone_map(partition.exact_split(tables.part(spark, d), XY, 2), XY, "node")
 
 
 @query(f"{_with(PART_SQL, _SPLIT)} SELECT CAST(node // 2 AS BIGINT) AS parent, count(*) AS total, floor(abs(100.0 * count(*) FILTER (WHERE node % 2 = 0) / count(*) - 50)) > 1 AS unbalanced FROM n2 GROUP BY node // 2")
@@ -606,7 +608,8 @@ def order_rank(spark, d):
 
 @query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS median FROM lineitem GROUP BY l_returnflag")
 def exact_median(spark, d):
-    return tables.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("median"))
+    rows = tables.table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("median"))
+    return value_at_rank(rows, "l_returnflag", "median", lambda n: F.ceil(n / 2) - 1).drop("n")
 
 
 # Graphs: customers to nations of suppliers, by orders

@@ -10,11 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, x, y): quantity and price; the id joins the columns that together are unique."""
+def lineitem(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """(id, x, y): quantity and price; the id joins the columns that together are unique. ``where`` is over the table."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), cents)
-    return table(spark, sf_dir, "lineitem").select(ident.alias("id"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return table(spark, sf_dir, "lineitem").filter(where).select(ident.alias("id"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
 
 
 LINEITEM_SQL = "li AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, l_quantity AS x, l_extendedprice AS y FROM lineitem)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.operators import graphs, knn, meshes, mutate, partition, ranges
-from plumbline.operators.ordering import numbered
+from plumbline.operators.ordering import numbered, value_at_rank
 from plumbline.operators.partition import SpatialFrame
 from plumbline.sources import generators, text_formats
 from plumbline.streaming import windows
@@ -86,7 +86,7 @@ def test_bag_delete(spark):
 
 def test_deep_trees_walk_arrays(spark):
     rows = [(random.Random(i).random(), random.Random(i + 1).random()) for i in range(3000)]
-    f = SpatialFrame.build(frame(spark, rows), ["x", "y"], 256)
+    f = SpatialFrame.build(frame(spark, rows), ["x", "y"], 1024)
     assert f.splits.depth() > partition.CASE_DEPTH
     again = f.points.withColumn("case", f.splits._case(1))
     assert again.filter("case <> leaf_id").count() == 0
@@ -99,6 +99,31 @@ def test_insert_then_rebalance(spark):
     assert f.validate().first()["leaves_hold"]
 
 
+def test_value_at_rank(spark):
+    rows = [(i, float(i % 3), float(i * 7 % 50) if i % 11 else None) for i in range(300)]
+    got = value_at_rank(spark.createDataFrame(rows, SCHEMA), "x", "y", lambda n: F.floor(n / 2)).collect()
+    want = {}
+    for g in range(3):
+        values = sorted(r[2] for r in rows if r[1] == g and r[2] is not None)
+        want[float(g)] = (values[len(values) // 2], len(values))
+    assert {r["x"]: (r["y"], r["n"]) for r in got} == want
+    assert value_at_rank(spark.createDataFrame([], SCHEMA), "x", "y", lambda n: n).count() == 0
+
+
+def test_exact_split_of_equal_values(spark):
+    rows = [(i, 5.0, float(i)) for i in range(8)]
+    got = partition.exact_split(spark.createDataFrame(rows, SCHEMA), ["x", "y"], 2).collect()
+    assert sorted((r["id"], r["node"]) for r in got) == [(i, 6 if i < 4 else 7) for i in range(8)]
+
+
+def test_numbered_wide_rows_over_sampled_bounds(spark):
+    rows = spark.range(50_000).select("id", (F.col("id") * 7919 % 50_021).cast("double").alias("x"), F.lit("pad").alias("wide"))
+    assert numbered(rows, ["x"], "i", 7).filter("i < 0 or i >= 50000").count() == 0
+    got = numbered(rows, ["x"], "i", 7)
+    wrong = got.alias("a").join(got.alias("b"), F.col("b.i") == F.col("a.i") + 1).filter("b.x <= a.x").count()
+    assert wrong == 0 and got.select("i").distinct().count() == 50_000
+
+
 def test_numbered(spark):
     rows = [(i, float(i * 7 % 50), 0.0) for i in range(200)]
     got = numbered(spark.createDataFrame(rows, SCHEMA), ["x", "id"], "i", 7).orderBy("i").collect()
