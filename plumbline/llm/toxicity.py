@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, in_training, text_or_empty
+from .common import bounded_batches, in_training, small_side, text_or_empty
 
 #: Bounds of the sample: positives and unlabelled documents (about), the characters of each that are learned from.
 POSITIVES, UNLABELLED, SAMPLE_CHARS = 1500, 4500, 20_000
@@ -112,7 +112,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     parts = 1 << 40
     rows = docs.filter(in_training(F.col("doc_id"))).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("u"), F.col("text"))
     text = F.substring(text_or_empty(F.col("text")), 1, SAMPLE_CHARS).alias("text")
-    some = toxic.filter("toxic").select("doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < parts * POSITIVES // n_toxic + 1)
+    # about POSITIVES ids; counted, so that they and not the texts travel
+    some = small_side(toxic.filter("toxic").select("doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < parts * POSITIVES // n_toxic + 1))
     pos = rows.join(some, "doc_id").select("u", text).orderBy("u").limit(2 * POSITIVES).collect()
     unl = rows.filter(F.col("u") < parts * UNLABELLED // max(docs.count(), 1) + 1)
     unl = unl.join(some, "doc_id", "left_anti").select("u", text).orderBy("u").limit(2 * UNLABELLED).collect()
