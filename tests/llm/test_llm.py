@@ -398,6 +398,28 @@ def test_chat_hot_dialogue_is_paged(spark, monkeypatch):
     assert Counter(re.findall(r"t\d+", whole)) == Counter(f"t{i}" for i in range(90))
 
 
+@pytest.mark.parametrize("most", [7, 1024])
+def test_chat_parts_are_runs_of_the_order(spark, most, monkeypatch):
+    monkeypatch.setattr(chat_format, "MOST", most)
+    rows = [(c, None if i % 4 == 0 else i % 3, ["ann", "bob", "system"][i % 5 % 3], f"t{i * 7 % 90}") for i in range(90) for c in (1, None)]
+    rows += [(1, 70, "ann", "same")] * 33 + [(2, 1, "bob", "one"), (2, 0, "ann", None)]
+    got = chat_format.render(spark.createDataFrame(rows, TURNS)).collect()
+    want = {}
+    for c in (1, 2, None):
+        for p in (-1, 0, 1):
+            page = sorted(((-1 if t is None else t), r, x or "") for d, t, r, x in rows if d == c and (-1 if t is None else t // 64) == p)
+            for speaker in {r for d, _, r, _ in rows if d == c} - {"system"}:
+                for at in range(0, len(page), most):
+                    text, mask = "", []
+                    for _, r, x in page[at : at + most]:
+                        text += "<|im_start|>" + ("system" if r == "system" else "assistant" if r == speaker else f"user name={r}") + "\n"
+                        mask += [f"{len(text)}:{len(text) + len(x) + 10}"] if r == speaker else []
+                        text += x + "<|im_end|>\n"
+                    want[c, speaker, p, at // most] = (len(page[at : at + most]), text, ",".join(mask))
+    assert {(r["conv_id"], r["perspective"], r["page"], r["part"]): (r["n_turns"], r["text"], r["mask"]) for r in got} == want
+    assert len(got) == len(want)
+
+
 def test_pipeline_stages(spark, edges, tmp_path):
     import corpus_pipeline
 
