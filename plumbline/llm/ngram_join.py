@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import alone_in_worker, bounded_batches, cut, small_side
@@ -231,7 +231,8 @@ def _dealt(rows: DataFrame, group: str, size: str, rest: list[str]) -> DataFrame
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Per distinct text that has a copy or a link: key, least_id, class_id, n_links."""
+    """Per distinct text that has a copy or a link: key, least_id, class_id, n_links, and the class's root: the key of one of
+    its texts, which tells it from all others where class_id is null or repeated."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     signed = rows.mapInArrow(_sign, "doc_id long, key binary, sig binary")
@@ -258,9 +259,9 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = components(checked.filter("b is not null").select("a", "b")).select(F.col("node").alias("key"), "root")
     linked = wanted.select(F.col("__key").alias("key"), "least_id").join(roots, "key")
     firsts = linked.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    found = linked.join(firsts, "root").join(links, "key").select("key", "class_id", "links")
+    found = linked.join(firsts, "root").join(links, "key").select("key", "class_id", "root", "links")
     some = texts.select("key", "least_id", "n", F.col("sig").isNotNull().alias("worded")).join(found, "key", "left").filter("worded and (n > 1 or links is not null)")
-    return some.select("key", "least_id", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    return some.select("key", "least_id", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
 
 
 def _key(text: Column) -> Column:
@@ -271,16 +272,20 @@ def _key(text: Column) -> Column:
 def join(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of all that are linked to it over any steps) and n_links, the number
     of other documents whose similarity with it reaches the threshold, copies included."""
-    of = cut(classes(docs)).select(F.col("key").alias("__key"), "class_id", "n_links")
+    of = cut(classes(docs).select(F.col("key").alias("__key"), "class_id", "n_links"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("__k"))
     rows = rows.join(small_side(of, BROADCAST_KEYS), F.col("__k") == F.col("__key"), "left")
     return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without the others of each class: the one with the least doc_id stays, once if that row is repeated."""
-    of = cut(classes(docs)).withColumn("__first", F.row_number().over(Window.partitionBy("class_id").orderBy("least_id", "key")) == 1)
-    of = cut(of.select(F.col("key").alias("__key"), F.col("least_id").alias("__least"), "__first"))
+    """The documents without the others of each class: the one with the least doc_id stays, once if that row is repeated;
+    a null id stays only where the class has no other."""
+    of = cut(classes(docs).select("key", "least_id", "root"))
+    # a minimum is taken before rows are dealt, so no task gathers a large class
+    firsts = of.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "key")).alias("first"))
+    of = of.join(firsts.select("first.key", F.lit(True).alias("__first")), "key", "left")
+    of = cut(of.select(F.col("key").alias("__key"), F.col("least_id").alias("__least"), F.coalesce("__first", F.lit(False)).alias("__first")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__id"), _key(F.col("text")).alias("__k"))
     rows = rows.join(small_side(of, BROADCAST_KEYS), F.col("__k") == F.col("__key"), "left")
     alone = rows.filter("__key is null").select("__row")

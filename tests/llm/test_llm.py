@@ -197,6 +197,14 @@ def test_join_matches_brute_force(spark, block, monkeypatch):
     assert kept == sorted({c for c, _ in want.values()})
 
 
+def test_one_of_each_class_stays_whatever_its_ids(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"}
+    near = texts["d"].replace("d30", "other")
+    rows = [(None, texts["a"]), (None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (5, texts["c"]), (5, texts["c"]), (None, texts["d"]), (5, near), (7, texts["d"] + " end"), (5, texts["e"]), (5, texts["e"]), (None, texts["f"])]
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()]
+    assert sorted(got, key=lambda r: r[1]) == sorted([(None, texts["a"]), (None, texts["b"]), (5, texts["c"]), (5, near), (5, texts["e"]), (None, texts["f"])], key=lambda r: r[1])
+
+
 def test_join_depth_meets_recall():
     d = ngram_join.depth_for()
     assert 1 - (1 - 0.8**d) ** (ngram_join.HASHES // d) >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** (ngram_join.HASHES // (d + 1))
