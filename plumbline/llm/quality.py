@@ -106,7 +106,7 @@ def _badness(rule: str) -> Column:
 
 
 def level_of(rule: str) -> Column:
-    """How many of the rule's cutoffs, mildest first, reject the document."""
+    """How many of the rule's cutoffs reject the document: the strictest ones first, as a mild cutoff rejects less."""
     return sum((F.when(_badness(rule) >= F.lit(c), 1).otherwise(0) for c in RULES[rule]), F.lit(0))
 
 
@@ -138,7 +138,8 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
     """Documents with the levels of their rules, ``stratum`` and ``good`` -> (stratum, a level to reject from, by rule).
 
     Counts by (stratum, rule, level) are pre-aggregated; a window over the few levels of a rule gives, for each cutoff,
-    the good documents it rejects. A level of 99 rejects nothing.
+    the good documents it rejects. The strictest cutoff that all milder ones hold beside is chosen. A level of 99 rejects
+    nothing.
     """
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"level_{r}").alias("level")) for r in RULES])).alias("e")
     tally = labelled.filter("good").select("stratum", each).groupBy("stratum", "e.rule", "e.level").agg(F.count(F.lit(1)).alias("c"))
@@ -147,13 +148,13 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
     g = grid.alias("g").join(tally.alias("t"), F.col("g.stratum").eqNullSafe(F.col("t.stratum")) & (F.col("g.rule") == F.col("t.rule")) & (F.col("g.level") == F.col("t.level")), "left")
     g = g.select("g.stratum", "g.rule", "g.level", F.coalesce("c", F.lit(0)).alias("c"))
     by = Window.partitionBy("stratum", "rule")
-    # level i and above means: rejected by cutoff i, the i-th mildest
+    # a document of level i is rejected by the i strictest cutoffs, so the mildest rejects from the highest level on
     g = g.withColumn("k", F.sum("c").over(by.orderBy(F.desc("level")))).withColumn("n", F.sum("c").over(by))
     tests = max(1, strata.count()) * len(RULES)
     passes = binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= F.lit(delta / tests)
     g = g.filter("level > 0")
-    g = g.withColumn("holds", F.min(passes.cast("int")).over(by.orderBy("level")))
-    at = g.filter("holds = 1").groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("level"))
+    g = g.withColumn("holds", F.min(passes.cast("int")).over(by.orderBy(F.desc("level"))))
+    at = g.filter("holds = 1").groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("level"))
     return at.select("stratum", *[F.coalesce(F.col(r), F.lit(99)).alias(f"from_{r}") for r in RULES])
 
 

@@ -65,7 +65,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": CHAT_SQL, "op9_source_mixing": MIXING_SQL}
+    return {"op1_chat_formatting": CHAT_SQL, "op6_quality_rules": quality_sql(), "op9_source_mixing": MIXING_SQL}
+
+
+def quality_sql() -> str:
+    """Counts, cutoffs by exact binomial sums, and verdicts, with the rules' constants filled in."""
+    badness = {"symbols": "n_symbols / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
+    levels = {r: " + ".join(f"CAST({badness[r]} >= CAST({c} AS DOUBLE) AS INTEGER)" for c in cuts) for r, cuts in quality.RULES.items()}
+    rules = len(quality.RULES)
+    return QUALITY_SQL.format(
+        levels=", ".join(f"{v} AS level_{r}" for r, v in levels.items()),
+        tested=" UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, unnest(range(1, {len(cuts) + 1})) AS level, list(level_{r}) AS seen FROM good GROUP BY stratum" for r, cuts in quality.RULES.items()),
+        rejected=" OR ".join(f"level_{r} >= coalesce((SELECT level FROM chosen c WHERE c.rule = '{r}' AND c.stratum IS NOT DISTINCT FROM v.stratum), 99)" for r in quality.RULES),
+        p=quality.ALPHA / rules, delta=quality.DELTA, rules=rules, least=quality.MIN_WORDS, percent=quality.REPEAT_PERCENT, symbols=quality.SYMBOLS,
+    )
+
+
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), g AS (SELECT rid, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+m AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS times FROM g) WHERE times > 1),
+r AS (SELECT rid, count(DISTINCT i + k) AS n FROM m, (VALUES (0), (1), (2)) o(k) GROUP BY rid),
+n AS (
+  SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^{symbols}]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN r USING (rid)
+), v AS (SELECT *, n_words < {least} OR 100 * n_repeat_words > {percent} * n_words AS base_failed, {levels} FROM n),
+q AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+good AS (SELECT v.* FROM v JOIN q USING (doc_id) WHERE NOT base_failed),
+tested AS ({tested}),
+k AS (SELECT stratum, rule, level, len(seen) AS n, len(list_filter(seen, lambda x: x >= level)) AS k FROM tested),
+b AS (
+  SELECT *, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS tail
+  FROM k
+), h AS (
+  SELECT *, min(CAST(tail <= {delta} / ({rules} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM good))) AS INTEGER)) OVER (PARTITION BY stratum, rule ORDER BY level DESC) AS holds FROM b
+), chosen AS (SELECT stratum, rule, min(level) AS level FROM h WHERE holds = 1 GROUP BY stratum, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejected}) AS kept
+FROM v
+"""
 
 
 #: No page of the test tables holds more than chat_format.MOST rows, so part is 0 here.

@@ -281,10 +281,58 @@ def test_cutoffs_hold_back_without_evidence(spark):
     names = [f"level_{r}" for r in quality.RULES]
     many = [("en", True, *[0] * len(names))] * 2000 + [("de", True, *[0] * len(names))] * 20
     got = {r["stratum"]: r for r in quality.choose_cutoffs(spark.createDataFrame(many, ["stratum", "good", *names])).collect()}
-    assert got["en"]["from_symbols"] == 7 or got["en"]["from_symbols"] == len(quality.RULES["symbols"])
+    # no good document has any badness, so the strictest cutoff holds
+    assert all(got["en"][f"from_{r}"] == 1 for r in quality.RULES)
     assert "de" not in got
 
 
+def tail(k, n, p):
+    return 1.0 if k >= n * p else sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+
+
+def expected_cutoffs(levels, strata):
+    """(rule, level) of good documents of a stratum -> the level that each rule rejects from, by trying cutoffs from the mildest on."""
+    out = {}
+    for rule, cuts in quality.RULES.items():
+        out[rule] = 99
+        for level in range(len(cuts), 0, -1):
+            k = sum(x >= level for x in levels[rule])
+            if tail(k, len(levels[rule]), quality.ALPHA / len(quality.RULES)) > quality.DELTA / (strata * len(quality.RULES)):
+                break
+            out[rule] = level
+    return out
+
+
+def test_cutoffs_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for stratum, n, often in (("en", 3000, 0.004), ("de", 900, 0.002), (None, 1500, 0.03), ("xx", 40, 0.0)):
+        for _ in range(n):
+            level = [int(rng.integers(1, len(c) + 1)) if rng.random() < often * (1 + i) else 0 for i, c in enumerate(quality.RULES.values())]
+            rows.append((stratum, True, *level))
+        rows.append((stratum, False, *[1] * len(quality.RULES)))
+    got = {r["stratum"]: r for r in quality.choose_cutoffs(spark.createDataFrame(rows, "stratum string, good boolean, " + ", ".join(f"level_{r} int" for r in quality.RULES))).collect()}
+    chosen = set()
+    for stratum in ("en", "de", None, "xx"):
+        own = [r for r in rows if r[0] == stratum and r[1]]
+        want = expected_cutoffs({rule: [r[2 + i] for r in own] for i, rule in enumerate(quality.RULES)}, 4)
+        assert {rule: got[stratum][f"from_{rule}"] if stratum in got else 99 for rule in quality.RULES} == want
+        chosen |= set(want.values())
+        for i, rule in enumerate(quality.RULES):
+            assert sum(r[2 + i] >= want[rule] for r in own) <= quality.ALPHA / len(quality.RULES) * len(own)
+    assert 99 in chosen and chosen - {1, 99}
+
+
+def test_kept_matches_brute_force(spark):
+    plain = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en", "a") for i in range(900)]
+    noisy = [(2000 + i, " ".join(f"n{i}x{j}" + "$$$" * (j % 3 == 0) for j in range(60)), "en", "a") for i in range(30)]
+    rows = [*plain, *noisy, (4000, "too short", "en", "a"), (4001, None, "en", "a"), (4002, noisy[0][1], "de", "a")]
+    marks = [(i, int(i < 2000), 0) for i, *_ in plain + noisy if i % 2 == 0]
+    got = {r["doc_id"]: r["kept"] for r in quality.assess(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    # the noisy ones go; those of a stratum without labels stay
+    assert got == {i: (i < 2000 or i == 4002) for i, *_ in rows}
+
+
 BASE = (
     ("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[1]) >= 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
