@@ -4,8 +4,8 @@ Strong spans (``assign``, ``access``, ``hex``) are reported wherever they match.
 ``identifier`` (an assigned key id, client id, user or account), ``secret40`` (a bare 40-character base-64 run) and
 ``endpoint`` (a URL). They are joined by interval: parts belong together if no more than ``WINDOW`` code points and no
 blank line lie between them. A weak identifier is reported beside a secret, a weak secret beside an identifier, an
-endpoint beside both. The join is a sweep over the sorted spans of a text, forward and backward, that carries where the
-last identifier and the last secret of the scope ended: linear in the spans, no pairs, no shuffle, no Python.
+endpoint beside both. The join is a sweep over the sorted spans of a text, forward and backward, by running maxima of
+where the last identifier, secret and blank line ended: near linear in the spans, no pairs, no shuffle, no Python.
 
 Defined results: a null text counts as empty and has no spans; equal texts have equal spans; other columns are ignored.
 """
@@ -28,7 +28,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
-IDENTIFIER = r"""(?<![A-Za-z0-9])(?i:access_?key_?id|client_?id|user(?:_?name)?|account(?:_?id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
+IDENTIFIER = r"""(?<![A-Za-z0-9])(?i:access_?key_?id|client_?id|user(?:_?name)?|account(?:_?id)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}+"""
 SECRET40 = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"""(?<![A-Za-z0-9+.-])(?i:[a-z][a-z0-9+.-]{1,15})://[^\s"'<>\x01-\x04]{4,}"""
 BLANK = r"\n[\x20\t\r]*\n"
@@ -51,21 +51,26 @@ def weak_spans(text: Column) -> Column:
 
 
 def _sweep(items: Column, forward: bool) -> Column:
-    """For items in order, whether an identifier and a secret precede within the window and scope."""
+    """For items in order, whether an identifier and a secret precede within the window and scope.
+
+    Running maxima give where the last identifier, secret and break before each item ended. Spans never hold a break, so
+    a part that ended no later than the last break is out of the item's scope.
+    """
     far = -(1 << 30)
-    start = F.struct(F.lit(far).alias("i"), F.lit(far).alias("c"), F.array().cast("array<struct<i:boolean,c:boolean>>").alias("out"))
+    edge = lambda x: x["e"] if forward else -x["s"]
 
-    def add(a: Column, x: Column) -> Column:
-        near, edge = (x["s"], x["e"]) if forward else (-x["e"], -x["s"])
-        hit = F.struct((near - a["i"] <= WINDOW).alias("i"), (near - a["c"] <= WINDOW).alias("c"))
-        scope = x["k"] == SCOPE
+    def last(kinds: tuple) -> Column:
+        return S.running_max(F.transform(items, lambda x: F.when(x["k"].isin(*kinds), edge(x)).otherwise(F.lit(far))))
 
-        def last(name: str, kinds: tuple) -> Column:
-            return F.when(scope, F.lit(far)).when(x["k"].isin(*kinds), F.greatest(a[name], edge)).otherwise(a[name]).cast("int").alias(name)
+    def hits(b: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            near = x["s"] if forward else -x["e"]
+            holds = lambda name: F.coalesce((near - F.get(b[name], i - 1) <= WINDOW) & (F.get(b[name], i - 1) > F.get(b["scope"], i - 1)), F.lit(False))
+            return F.struct(holds("i").alias("i"), holds("c").alias("c"))
 
-        return F.struct(last("i", IDENTIFIERS), last("c", SECRETS), F.concat(a["out"], F.array(hit)).alias("out"))
+        return F.transform(items, one)
 
-    return F.aggregate(items, start, add, lambda a: a["out"])
+    return let(F.struct(last(IDENTIFIERS).alias("i"), last(SECRETS).alias("c"), last((SCOPE,)).alias("scope")), hits)
 
 
 def linked(strong: Column, weak: Column, breaks: Column) -> Column:
