@@ -439,10 +439,10 @@ def made_up_people(n=1600):
     for i in range(n):
         number = f"{rng.integers(200, 999)} {rng.integers(100, 999)} {rng.integers(1000, 9999)}"
         text, extra = {0: (f"please call +1 {number} now", None), 1: (f"write to mail{i}@host{i % 9}.example.com today", None), 2: (f"part {rng.integers(10**15, 10**16)} is in stock", None), 3: (f"order 17 of {rng.integers(1000, 9999)}/{rng.integers(10, 99)}/{rng.integers(1000, 9999)} shipped", None)}[i % 4]
-        if i % 40 == 0:
+        if i % 80 == 0:
             extra = f"1 {number}"
             text = f"please call {extra} now"
-        if i % 40 == 1:
+        if i % 80 == 1:
             extra = f"mail{i} (at) host{i % 9} (dot) example (dot) com"
             text = f"write to {extra} today"
         rows.append((i, text, "en", "a"))
