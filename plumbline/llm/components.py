@@ -11,11 +11,25 @@ from .common import cut
 MOST_ROUNDS = 60
 
 
+#: A node with more than this share of all edges is looked up in a broadcast table, which therefore has fewer than
+#: ``2 * HOT`` rows.
+HOT = 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``edges`` (u, v) with the ``m`` of their u. Nodes of very many edges don't meet in a task of the join."""
+    hot = least.filter(F.col("degree") > n // HOT).select(F.col("u").alias("__u"), F.col("m").alias("__m"))
+    rows = edges.join(F.broadcast(hot), F.col("u") == F.col("__u"), "left")
+    usual = rows.filter("__u is null").select("u", "v").join(least.filter(F.col("degree") <= n // HOT).select("u", "m"), "u")
+    return usual.unionByName(rows.filter("__u is not null").select("u", "v", F.col("__m").alias("m")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): root is the least node of the component. Nodes without an edge do not appear.
 
     Large and small stars in turn: every node's neighbours are tied to the least node it knows, until all hang on roots.
-    Minima are pre-aggregated, no neighbourhood is collected, and each round is written to the shared checkpoint folder.
+    Minima are pre-aggregated, no neighbourhood is collected or joined in one task, and each round is written to the shared
+    checkpoint folder.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
@@ -25,8 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        large = _with_least(both, least, now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

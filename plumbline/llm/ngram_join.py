@@ -1,14 +1,21 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Texts are sets of shingles of five words. Equal texts are one class from the start, so copies cost no comparison. Each
-distinct text gets a signature, cut into prefixes that are the paths of as many tries; the depth is the deepest at which
-the trees together still find a pair of the threshold similarity with the target recall. Texts that share a prefix meet
-in a bucket. There they are compared by whole signatures, far below the threshold, and what holds together is written as
-a spanning forest: never all pairs. The forest's components are families, and within a family every pair is verified on
-its exact shingle sets; again only counts by text and a spanning forest leave the task.
-
-Large buckets and families are dealt to pairs of blocks of at most about ``BLOCK`` texts, so no task holds an unbounded
-group and none is capped. Work within a family grows with the square of its distinct texts, as its links do.
+distinct text gets a signature, and tree t of the forest is a prefix trie of all signatures read from the value ``DEPTH * t``
+on, round and round. Paths of different trees differ in their first ``DEPTH`` values, so that many independent chances find
+a pair; deeper down they share values, which costs no hashing and only tells what to compare first.
+
+Texts that share the first ``DEPTH`` values of a path meet, sorted along the path: a prefix trie. It is walked from the
+deepest shared prefixes up. Where branches join, texts that no deeper match has connected are compared by whole signatures,
+far below the threshold; what holds together is written as a spanning forest, never as all pairs. Matched prefixes are
+shortened value by value, each branch from as deep as it goes and for as long as it holds texts that are not connected,
+until ``DEPTH``: there the trees together find a pair of the threshold similarity with the target recall, and a shorter
+prefix is not needed. The forest's components are families, and within a family every pair is verified on its exact shingle
+sets; again only counts by text and a spanning forest leave the task.
+
+Large tries and families are dealt to pairs of blocks of about ``BLOCK`` texts, or fewer of long ones, so no task holds an
+unbounded group and none is capped. Work within a family grows with the square of its distinct texts, as its links do;
+what is moved for that grows by one copy of a text for each ``BLOCK`` texts of its family.
 
 Defined results: a text without a word has no shingles, links to nothing and is a class of its own with its doc_id; a text
 of fewer than five words is one shingle; rows with null ids are linked as others, and a class of them alone has a null
@@ -21,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +42,8 @@ HASHES = 96
 RECALL = 0.99999
 #: A pair is a candidate if so many of its hash values agree: six standard deviations below what the threshold gives.
 AGREE = int(HASHES * (0.8 - 6 * (0.8 * 0.2 / HASHES) ** 0.5))
-BLOCK = 256
+#: Texts of a block, and bytes of text of one that is verified (the longest text may be more).
+BLOCK, BLOCK_BYTES = 1024, 1 << 24
 #: Rows of (key, id) that may be broadcast: some 40 bytes each.
 BROADCAST_KEYS = 250_000
 #: Shingles hashed together, and words whose hash a worker remembers.
@@ -48,7 +57,7 @@ _words: dict[bytes, int] = {}
 
 
 def depth_for(recall: float = RECALL, similarity: float = NUMERATOR / DENOMINATOR, hashes: int = HASHES) -> int:
-    """The deepest prefix with which ``hashes // depth`` trees find a pair of ``similarity`` at the target recall."""
+    """How far prefixes are shortened: the deepest at which ``hashes // depth`` trees find a pair of ``similarity`` at the target recall."""
     for depth in range(8, 1, -1):
         if 1 - (1 - similarity**depth) ** (hashes // depth) >= recall:
             return depth
@@ -130,7 +139,8 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs += signatures(texts)
                 texts, held = [], 0
         sigs += signatures(texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary())], names=["doc_id", "key", "sig"])
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), size], names=["doc_id", "key", "sig", "bytes"])
 
 
 class Forest:
@@ -176,17 +186,51 @@ def _facing(rows: list[tuple]) -> list[np.ndarray]:
     return [later[i + 1 :][side[i + 1 :] != side[i]] for i in range(len(rows))]
 
 
+def trie_order(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows along their paths, and how many first values each row of that order shares with the one before."""
+    order = np.argsort(np.ascontiguousarray(paths, ">u4").view(f"S{4 * paths.shape[1]}").ravel(), kind="stable")
+    same = paths[order[1:]] == paths[order[:-1]]
+    return order, np.where(same.all(axis=1), paths.shape[1], same.argmin(axis=1))
+
+
+def descend(sigs: np.ndarray, tree: int, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """A spanning forest of the rows that agree, from the deepest shared prefixes up to those of ``DEPTH`` values.
+
+    With ``side`` only rows of different sides are compared. Each pair is looked at once at most, where its branches join.
+    """
+    if len(sigs) == 2:
+        return [(0, 1)] if (side is None or side[0] != side[1]) and (sigs[0] == sigs[1]).sum() >= AGREE else []
+    order, shared = trie_order(np.roll(sigs, -DEPTH * tree, axis=1))
+    edges: list[tuple[int, int]] = []
+    part = np.arange(len(sigs))  # what a row is connected with
+    start = np.arange(len(sigs))  # of the branch that ends at a place
+    end = np.arange(len(sigs))  # of the branch that starts at a place
+    for at in np.argsort(-shared, kind="stable").tolist():
+        low, high = int(start[at]), int(end[at + 1])
+        end[low], start[high] = high, low
+        if (part[order[low : high + 1]] == part[order[low]]).all():
+            continue
+        left, right = order[low : at + 1], order[at + 1 : high + 1]
+        if len(left) > len(right):
+            left, right = right, left
+        for i in left.tolist():
+            others = right[part[right] != part[i]]
+            if side is not None:
+                others = others[side[others] != side[i]]
+            for j in others[(sigs[others] == sigs[i]).sum(axis=1) >= AGREE].tolist() if len(others) else ():
+                if part[j] != part[i]:
+                    edges.append((i, j))
+                    part[part == part[j]] = part[i]
+    return edges
+
+
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, block, key, sig) -> a spanning forest of what agrees."""
+    """Rows (bucket, i, j, block, key, sig, tree) -> a spanning forest of what agrees."""
     for rows in _groups(batches):
-        sigs = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), HASHES)
-        forest = Forest(len(rows))
-        for i, others in enumerate(_facing(rows)):
-            if len(others):
-                for j in others[(sigs[others] == sigs[i]).sum(axis=1) >= AGREE].tolist():
-                    forest.join(i, j)
-        if forest.edges:
-            yield pa.RecordBatch.from_arrays([pa.array([rows[e[k]][4] for e in forest.edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        sigs = np.frombuffer(b"".join(r[5] for r in rows), ">u4").astype(np.uint32).reshape(len(rows), HASHES)
+        edges = descend(sigs, rows[0][6], None if rows[0][1] == rows[0][2] else np.array([r[3] for r in rows]))
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[e[k]][4] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +265,9 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "links"])
 
 
-def _dealt(rows: DataFrame, group: str, size: str, rest: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, group: str, blocks: Column, rest: list[str]) -> DataFrame:
     """Rows of a group go to every pair of blocks (i, j) that their own block is in; the rows of a pair come together."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    rows = rows.withColumn("__blocks", F.greatest(blocks, F.lit(1))).withColumn("block", F.pmod(F.xxhash64("key"), F.col("__blocks")).cast("int"))
+    rows = rows.withColumn("__blocks", F.greatest(F.ceil(blocks), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("__blocks")).cast("int"))
     rows = rows.withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     rows = rows.select(group, F.least("block", "__with").alias("i"), F.greatest("block", "__with").alias("j"), "block", "key", *rest)
     return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", *rest[:1])
@@ -235,24 +278,24 @@ def classes(docs: DataFrame) -> DataFrame:
     its texts, which tells it from all others where class_id is null or repeated."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    signed = rows.mapInArrow(_sign, "doc_id long, key binary, sig binary")
-    texts = cut(signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig")))
+    signed = rows.mapInArrow(_sign, "doc_id long, key binary, sig binary, bytes long")
+    texts = cut(signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig"), F.max("bytes").alias("bytes")))
 
-    # tries: one path a tree, the first DEPTH values of its part of the signature
-    part = lambda t: F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH))
-    paths = texts.filter("sig is not null").select("key", F.explode(F.array(*[part(t) for t in range(TREES)])).alias("bucket"))
+    # roots of the tries: the first DEPTH values of each tree's paths
+    part = lambda t: F.struct(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH)).alias("bucket"), F.lit(t).alias("tree"))
+    paths = texts.filter("sig is not null").select("key", F.explode(F.array(*[part(t) for t in range(TREES)])).alias("p")).select("key", "p.bucket", "p.tree")
     shared = paths.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("all")).filter("members > 1")
     # trees that found the same members need one comparison
     shared = shared.groupBy("members", "lo", "hi", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
     met = paths.join(shared, "bucket").join(texts.select("key", "sig"), "key")
-    forest = _dealt(met, "bucket", "members", ["sig"]).mapInArrow(_candidates, "a binary, b binary")
+    forest = _dealt(met, "bucket", F.col("members") / BLOCK, ["sig", "tree"]).mapInArrow(_candidates, "a binary, b binary")
     families = cut(components(forest).select(F.col("node").alias("key"), F.col("root").alias("family")))
 
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    wanted = families.join(sizes, "family").join(texts.select("key", "least_id", "n"), "key")
-    wanted = cut(wanted.select(F.col("key").alias("__key"), "family", "members", "least_id", "n"))
+    members = families.join(texts.select("key", "least_id", "n", "bytes"), "key")
+    sizes = members.groupBy("family").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
+    wanted = cut(members.join(sizes, "family").select(F.col("key").alias("__key"), "family", "blocks", "least_id", "n"))
     read = rows.join(small_side(wanted, BROADCAST_KEYS), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).dropDuplicates(["key"])
-    checked = _dealt(read.select("family", "members", "key", "n", "text"), "family", "members", ["n", "text"]).mapInArrow(_verified, "a binary, b binary, links long")
+    checked = _dealt(read.select("family", "blocks", "key", "n", "text"), "family", F.col("blocks"), ["n", "text"]).mapInArrow(_verified, "a binary, b binary, links long")
     checked = cut(checked)
 
     links = checked.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))

@@ -210,6 +210,42 @@ def test_join_depth_meets_recall():
     assert 1 - (1 - 0.8**d) ** (ngram_join.HASHES // d) >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** (ngram_join.HASHES // (d + 1))
 
 
+def test_trie_is_walked_from_its_deepest_prefixes():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**32, (6, ngram_join.HASHES), np.uint32)
+    rows = []
+    for b in base:
+        for changes in (0, 3, 9, 14):
+            r = b.copy()
+            r[rng.choice(np.arange(ngram_join.DEPTH, len(r)), changes, replace=False)] = rng.integers(0, 2**32, changes, np.uint32)
+            rows.append(r)
+    sigs = np.array(rows)
+    order, shared = ngram_join.trie_order(sigs)
+    for k in range(len(order) - 1):
+        a, b = sigs[order[k]].tolist(), sigs[order[k + 1]].tolist()
+        assert a <= b and shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    for side in (None, np.arange(len(sigs)) % 2):
+        edges = ngram_join.descend(sigs, 0, side)
+        forest = ngram_join.Forest(len(sigs))
+        for i in range(len(sigs)):
+            for j in range(i):
+                if (sigs[i] == sigs[j]).sum() >= ngram_join.AGREE and (side is None or side[i] != side[j]):
+                    forest.join(i, j)
+        got = ngram_join.Forest(len(sigs))
+        for i, j in edges:
+            assert (sigs[i] == sigs[j]).sum() >= ngram_join.AGREE
+            got.join(i, j)
+        assert len(got.edges) == len(edges)  # no pair that was connected is joined again
+        assert [got._root(i) for i in range(len(sigs))] == [forest._root(i) for i in range(len(sigs))]
+
+
+def test_components_with_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr("plumbline.llm.components.HOT", 4)
+    e = [(0, i) for i in range(1, 200)] + [(300 + i, 301 + i) for i in range(9)] + [(150, 300)]
+    got = dict(map(tuple, components(spark.createDataFrame(e, "a long, b long")).collect()))
+    assert got == {i: 0 for i in [*range(200), *range(300, 310)]}
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (103, 102)]
     got = dict(map(tuple, components(spark.createDataFrame(e, "a long, b long")).collect()))
