@@ -2,11 +2,14 @@
 
 For every language a suffix automaton is built over a bounded sample of labelled text. A text is parsed against it into
 the longest phrases that occur in the sample, one after another (a letter unknown to the sample begins a phrase and goes
-before its longest match); the language that needs fewest phrases for its letters
-is the prediction. The automata are numpy tables, and many texts are parsed in step, one character of each at a time.
+before its longest match). A phrase names a place in the sample, so the cross entropy is the number of phrases times the
+logarithm of the sample's length, for each letter; the language with the least is the prediction. Without that factor a
+language with a longer sample, and so longer matches, would win too often.
 
-Texts are lower-cased, every run of other characters becomes one space, and parses restart every ``SEGMENT`` characters so
-that long texts run beside each other; their phrases are summed, so the whole text counts.
+The automata's moves are one hash table of numpy arrays, whose size follows the samples and not the alphabet. Many pieces
+of text are parsed in step, one character of each at a time. Pieces of ``SEGMENT`` characters of a long text are parsed
+beside each other, then anew from the state in which the piece before ended, until both parses meet; after that they agree
+for good. So phrases are those of the whole text, whatever the length of pieces.
 
 Defined results: a text that is null, empty or without letters is ``und`` with score 0; where no language could be learned
 every text is; ties go to the first language by code point; equal texts have equal results. Rows whose lang or text is
@@ -25,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import alone_in_worker, bounded_batches, in_training
 
-#: Bounds of the sample: documents a language (about), characters of each, characters a language, and languages.
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS, LANGUAGES = 48, 3000, 24_000, 200
+#: Bounds of the sample: documents a language (about), and characters a language, dealt evenly over its documents.
+SAMPLE_DOCS, SAMPLE_CHARS = 48, 24_000
+#: How many times its even part of the characters a document may give where others are short.
+WIDE = 6
 SEGMENT = 512
-#: Segments parsed in step, and characters of text looked at together.
+#: Pieces parsed in step, and characters of text looked at together.
 STEP, CHUNK = 1024, 1 << 22
 UNDETERMINED = "und"
 
@@ -45,7 +50,7 @@ class Letters:
     def __init__(self, alphabet: str):
         if Letters._alpha is None:
             Letters._alpha = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
-        self._code = np.where(Letters._alpha, 2, 1).astype(np.uint16)
+        self._code = np.where(Letters._alpha, 2, 1).astype(np.int32)
         for i, c in enumerate(alphabet):
             self._code[ord(c)] = 3 + i
         self.size = 3 + len(alphabet)
@@ -65,8 +70,8 @@ class Letters:
         return every[keep], begins
 
 
-def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
-    """Transitions (states by codes, -1 for none) of the automaton of all factors of a sequence."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Moves by state of the automaton of all factors of a sequence."""
     following: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -93,11 +98,43 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(following), size), -1, np.int32)
-    for s, row in enumerate(following):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    return following
+
+
+class Moves:
+    """An open hash table from keys to values, both not negative, looked up by whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(int(4 * len(keys)).bit_length(), 4)
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        left, place = np.arange(len(keys)), self._place(keys)
+        while len(left):
+            free = left[self._keys[place[left]] < 0]
+            self._keys[place[free]] = keys[free]
+            won = free[self._keys[place[free]] == keys[free]]
+            self._values[place[won]] = values[won]
+            left = left[self._keys[place[left]] != keys[left]]
+            place[left] = (place[left] + 1) & self._mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where a key is absent."""
+        at = self._place(keys)
+        held = self._keys.take(at)
+        out = np.where(held == keys, self._values.take(at), -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            keys_left = keys.flat[left]
+            at_left = (at.flat[left] + 1) & self._mask
+            at.flat[left] = at_left
+            held = self._keys[at_left]
+            found = held == keys_left
+            out.flat[left[found]] = self._values[at_left[found]]
+            left = left[~found & (held >= 0)]
+        return out
 
 
 class Parser:
@@ -106,23 +143,56 @@ class Parser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         forms = {k: normal_form(samples[k]) for k in self.languages}
-        alphabet = sorted({c for f in forms.values() for c in f if c.isalpha()})
-        self.letters = Letters("".join(alphabet))
+        self.letters = Letters("".join(sorted({c for f in forms.values() for c in f if c.isalpha()})))
         size = self.letters.size
-        tables = []
+        keys, values, roots, first, weights = [], [], [], 0, []
         for k in self.languages:
             codes, _ = self.letters.codes([forms[k]])
-            moves = suffix_automaton(codes.tolist(), size)
-            # a missing move ends the phrase; the next one starts at the root with this character, or after it
-            root = np.where(moves[0] >= 0, moves[0], 0)
-            tables.append(np.where(moves >= 0, moves, -1 - root[None, :]))
-            tables[-1][:, 0] = np.arange(len(moves))
-        starts = np.cumsum([0, *[len(t) for t in tables]])
-        self._roots = (starts[:-1] * size).astype(np.int64)
-        # entry: (next state's place in the table) times 2, plus 1 if a phrase began
-        self._table = np.concatenate([2 * size * (np.where(t >= 0, t, -1 - t) + s).astype(np.int64) + (t < 0) for t, s in zip(tables, starts, strict=False)]).ravel()
-        if len(self._table) and self._table.max() < 2**31:
-            self._table = self._table.astype(np.int32)
+            following = suffix_automaton(codes.tolist())
+            keys += [(first + s) * size + c for s, row in enumerate(following) for c in row]
+            values += [first + t for row in following for t in row.values()]
+            roots.append(first)
+            weights.append(np.log(max(len(codes), 2)))
+            first += len(following)
+        self._moves = Moves(np.array(keys, np.int64), np.array(values, np.int64))
+        self._roots, self._weights = np.array(roots, np.int64)[:, None], np.array(weights)
+        every = np.arange(size)
+        starts = self._moves.get(self._roots * size + every) if roots else np.zeros((0, size), np.int64)
+        self._starts = np.where(starts >= 0, starts, self._roots)
+
+    def _step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States (languages by pieces) after a character of each piece, and whether it began a phrase."""
+        to = self._moves.get(state * self.letters.size + row)
+        began = to < 0
+        return np.where(began, self._starts[:, row], to), began
+
+    def _parsed(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, found: np.ndarray, old: np.ndarray | None = None) -> np.ndarray:
+        """Parses pieces in step, longest first, from ``state``; adds begun phrases to ``found`` and returns the last states.
+
+        With ``old`` a parse from there is run beside and its phrases are taken off; a piece is left as soon as both meet in
+        all languages, and the states returned for it are -1.
+        """
+        ends = np.full_like(state, -1)
+        live = np.arange(len(size))
+        for i in range(int(size.max(initial=0))):
+            live_now = size[live] > i
+            if not live_now.all():
+                gone = live[~live_now]
+                ends[:, gone] = state[:, ~live_now]
+                live, state, old = live[live_now], state[:, live_now], None if old is None else old[:, live_now]
+            row = codes[start[live] + i]
+            state, began = self._step(state, row)
+            found[:, live] += began
+            if old is not None:
+                old, began = self._step(old, row)
+                found[:, live] -= began
+                apart = (state != old).any(axis=0)
+                if not apart.all():
+                    live, state, old = live[apart], state[:, apart], old[:, apart]
+            if not len(live):
+                break
+        ends[:, live] = state
+        return ends
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and how many letters each text has."""
@@ -135,32 +205,48 @@ class Parser:
         at = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = begins[:-1][owner] + at * SEGMENT
         size = np.minimum(SEGMENT, lengths[owner] - at * SEGMENT)
+        found = np.zeros((len(self.languages), len(owner)), np.int64)
+        ends = np.empty_like(found)
         order = np.argsort(-size, kind="stable")
-        counts = np.zeros((len(texts), len(self.languages)), np.int64)
         for first in range(0, len(order), STEP):
             ids = order[first : first + STEP]
-            longest = int(size[ids[0]])
-            place = start[ids][:, None] + np.arange(longest)
-            inside = np.arange(longest) < size[ids][:, None]
-            block = np.where(inside, codes[np.minimum(place, max(len(codes) - 1, 0))], 0).T.astype(self._table.dtype)
-            state = np.repeat(self._roots.astype(self._table.dtype)[:, None], len(ids), axis=1)
-            found = np.ones(state.shape, self._table.dtype)
-            for i, row in enumerate(block):
-                state += row
-                got = self._table.take(state)
-                if i:  # the first character begins the first phrase, known or not
-                    found += got & 1
-                state = got >> 1
-            np.add.at(counts, owner[ids], found.T)
+            got = np.zeros((len(self.languages), len(ids)), np.int64)
+            ends[:, ids] = self._parsed(codes, start[ids], size[ids], np.repeat(self._roots, len(ids), axis=1), got)
+            found[:, ids] = got
+        # a text's first character begins a phrase, known or not
+        heads = np.flatnonzero(at == 0)
+        found[:, heads] += self._moves.get(self._roots * self.letters.size + codes[start[heads]]) >= 0 if len(heads) else 0
+        # later pieces go on from the end of the one before, until that changes nothing
+        since = np.repeat(self._roots, len(owner), axis=1)
+        todo = np.flatnonzero(at > 0)
+        while len(todo):
+            changed = []
+            for first in range(0, len(todo), STEP):
+                ids = todo[first : first + STEP]
+                ids = ids[np.argsort(-size[ids], kind="stable")]
+                got = np.zeros((len(self.languages), len(ids)), np.int64)
+                last = self._parsed(codes, start[ids], size[ids], ends[:, ids - 1], got, since[:, ids])
+                found[:, ids] += got
+                since[:, ids] = ends[:, ids - 1]
+                moved = (last[0] >= 0) & (last != ends[:, ids]).any(axis=0)
+                changed.append((ids[moved], last[:, moved]))
+            for ids, last in changed:
+                ends[:, ids] = last
+            after = np.concatenate([ids for ids, _ in changed]) + 1
+            todo = np.sort(after[(after < len(owner))])
+            todo = todo[at[todo] > 0]
+        counts = np.zeros((len(texts), len(self.languages)), np.int64)
+        np.add.at(counts, owner, found.T)
         return counts, letters
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.languages or not texts:
             return [(UNDETERMINED, 0.0)] * len(texts)
         counts, letters = self.phrases(texts)
-        best = counts.argmin(axis=1)
-        # the prediction's share of all languages' phrase lengths
-        inverse = 1.0 / np.maximum(counts, 1)
+        entropy = np.maximum(counts, 1) * self._weights
+        best = entropy.argmin(axis=1)
+        # the prediction's share of all languages' mean phrase lengths
+        inverse = 1.0 / entropy
         share = inverse[np.arange(len(texts)), best] / inverse.sum(axis=1)
         return [(self.languages[b], float(s)) if n else (UNDETERMINED, 0.0) for b, s, n in zip(best, share, letters, strict=True)]
 
@@ -180,21 +266,33 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 def learn(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """Bounded samples of labelled text by language, the same whenever the table is the same.
 
-    Languages are counted first; then rows whose hash falls below a language's share are read, about ``SAMPLE_DOCS`` each.
+    Languages are counted first, every one; then rows whose hash falls below a language's share are read, about
+    ``SAMPLE_DOCS`` each. Copies of a text are one. A text that is longer than its document's part of ``SAMPLE_CHARS`` gives
+    that many characters from a place within it that its hash tells.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")).filter(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return ()
-    parts = 1 << 40
-    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(parts, parts * SAMPLE_DOCS // n + 1))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts))
-    chosen = rows.filter(drawn < F.element_at(limits, F.col("lang"))).select("lang", drawn.alias("u"), F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text"))
-    samples: dict[str, str] = {}
-    for r in sorted(chosen.orderBy("u").limit(4 * SAMPLE_DOCS * len(sizes)).collect(), key=lambda r: (r["u"], r["text"])):
-        if len(samples.get(r["lang"], "")) < SAMPLE_CHARS:
-            samples[r["lang"]] = (samples.get(r["lang"], "") + "\n" + r["text"])[:SAMPLE_CHARS]
+    parts, each = 1 << 40, SAMPLE_CHARS // SAMPLE_DOCS
+    limits = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(parts, parts * 2 * SAMPLE_DOCS // max(n, 1) + 1))])
+    drawn = F.pmod("h", F.lit(parts))
+    spare = F.greatest(F.length("text") - WIDE * each, F.lit(0))
+    piece = F.substring("text", F.pmod(F.xxhash64("h"), spare + 1).cast("int") + 1, F.lit(WIDE * each))
+    chosen = rows.filter(drawn < F.element_at(limits, F.col("lang"))).select("lang", drawn.alias("u"), piece.alias("text")).distinct()
+    found: dict[str, list[str]] = {}
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["u"], r["text"])):
+        found.setdefault(r["lang"], []).append(r["text"])
+    samples = {}
+    for k, texts in found.items():
+        # short texts leave their part to the others
+        share, room = {}, SAMPLE_CHARS
+        for i, t in sorted(enumerate(texts[:SAMPLE_DOCS]), key=lambda x: len(x[1])):
+            share[i] = t[: room // (min(len(texts), SAMPLE_DOCS) - len(share))]
+            room -= len(share[i])
+        samples[k] = "\n".join(share[i] for i in sorted(share))
     return tuple(sorted((k, v) for k, v in samples.items() if any(c.isalpha() for c in v)))
 
 

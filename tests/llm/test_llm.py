@@ -262,28 +262,50 @@ def test_language_held_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
 
-def test_language_phrases_match_brute_force():
-    samples = {"a": "the cat sat on the mat", "b": "un chat noir ééé"}
+def parsed(t, sample):
+    n = j = 0
+    while j < len(t):
+        b = j if t[j] in sample else j + 1
+        k = b
+        while k < len(t) and t[b : k + 1] in sample:
+            k += 1
+        n, j = n + 1, k
+    return n
+
+
+@pytest.mark.parametrize("segment", [3, 512])
+def test_language_phrases_match_brute_force(segment, monkeypatch):
+    monkeypatch.setattr(lang_id, "SEGMENT", segment)
+    rng = np.random.default_rng(6)
+    words = lambda pool, n: " ".join("".join(rng.choice(list(pool), rng.integers(1, 7))) for _ in range(n))
+    samples = {"a": "the cat sat on the mat " + words("abcd", 80), "b": "un chat noir ééé " + words("bcdx", 30), "c": words("日本語中文字", 40)}
     p = lang_id.Parser(samples)
     form = lambda t: re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
-
-    def phrases(t, sample):
-        n = 0
-        for i in range(0, len(t), lang_id.SEGMENT):
-            seg, j = t[i : i + lang_id.SEGMENT], 0
-            while j < len(seg):
-                b = j if seg[j] in sample else j + 1
-                k = b
-                while k < len(seg) and seg[b : k + 1] in sample:
-                    k += 1
-                n, j = n + 1, k
-        return n
-
-    texts = ["The catmat, sat!", "", "é zzz chat", "noir " * 400, "x"]
+    texts = ["The catmat, sat!", "", "é zzz chat", "noir " * 400, "x", words("abcd", 500), words("bcdxyz", 300), samples["a"] * 3, words("日本語中", 90), "12 " * 9]
     counts, letters = p.phrases(texts)
-    assert counts.tolist() == [[phrases(form(t), form(samples[k])) for k in p.languages] for t in texts]
+    assert counts.tolist() == [[parsed(form(t), form(samples[k])) for k in p.languages] for t in texts]
     assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
     assert p.predict(["", "12"]) == [("und", 0.0)] * 2
+    for t, (lang, _) in zip(texts, p.predict(texts), strict=True):
+        cost = [max(parsed(form(t), form(samples[k])), 1) * math.log(len(form(samples[k]))) for k in p.languages]
+        assert lang == ("und" if not any(map(str.isalpha, t)) else p.languages[cost.index(min(cost))])
+
+
+def test_language_with_a_longer_sample_has_no_advantage():
+    rng = np.random.default_rng(1)
+    parts = {"en": ["th", "ing", "er", "on"], "xx": ["th", "ung", "er", "an"]}
+    word = lambda k: "".join(rng.choice(parts[k], 3))
+    p = lang_id.Parser({"en": " ".join(word("en") for _ in range(3000)), "xx": " ".join(word("xx") for _ in range(60))})
+    texts = [(k, " ".join(word(k) for _ in range(120))) for k in parts for _ in range(20)]
+    assert [x for x, _ in p.predict([t for _, t in texts])] == [k for k, _ in texts]
+
+
+def test_language_tables_follow_the_samples_not_the_alphabet():
+    rng = np.random.default_rng(2)
+    samples = {f"l{i}": "".join(map(chr, rng.integers(0x4E00, 0x9F00, lang_id.SAMPLE_CHARS))) for i in range(3)}
+    p = lang_id.Parser(samples)
+    assert p._moves._keys.nbytes + p._moves._values.nbytes + p._starts.nbytes < 64 << 20
+    assert [x for x, _ in p.predict([samples[k][500:900] for k in sorted(samples)])] == sorted(samples)
 
 
 def quality_counts(t):
