@@ -34,7 +34,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 48, 24_000
 WIDE = 6
 SEGMENT = 512
 #: Pieces parsed in step, and characters of text looked at together.
-STEP, CHUNK = 1024, 1 << 22
+STEP, CHUNK = 4096, 1 << 22
 UNDETERMINED = "und"
 
 
@@ -118,14 +118,16 @@ class Moves:
             place[left] = (place[left] + 1) & self._mask
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).view(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values, -1 where a key is absent."""
         at = self._place(keys)
         held = self._keys.take(at)
-        out = np.where(held == keys, self._values.take(at), -1)
-        left = np.flatnonzero((held != keys) & (held >= 0))
+        miss = held != keys
+        out = self._values.take(at)
+        out[miss] = -1
+        left = np.flatnonzero(miss & (held >= 0))
         while len(left):
             keys_left = keys.flat[left]
             at_left = (at.flat[left] + 1) & self._mask
@@ -164,7 +166,9 @@ class Parser:
         """States (languages by pieces) after a character of each piece, and whether it began a phrase."""
         to = self._moves.get(state * self.letters.size + row)
         began = to < 0
-        return np.where(began, self._starts[:, row], to), began
+        language, piece = np.nonzero(began)
+        to[language, piece] = self._starts[language, row[piece]]
+        return to, began
 
     def _parsed(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, found: np.ndarray, old: np.ndarray | None = None) -> np.ndarray:
         """Parses pieces in step, longest first, from ``state``; adds begun phrases to ``found`` and returns the last states.

@@ -1,12 +1,14 @@
 """Media columns: Netpbm and BMP images in binary columns.
 
 Payloads are stored as 8-bit samples in a binary PPM of ``WIDTH`` pixels a row, and read back by decoding the stored
-bytes. Images of the Netpbm family (P1 to P6) and uncompressed BMP (8, 24 and 32 bits) become numpy arrays, are resized by
-area with integral images, cut to NPY tiles and described by difference hashes. One row is one image: nothing is shuffled,
-and memory holds one image at a time.
-
-Defined results: a null text counts as empty, whose payload is one row of spaces; equal texts have equal values; a file
-that is no such image, is cut short or has more samples than it says raises ``ValueError``; other columns are ignored.
+bytes. Images of the Netpbm family (P1 to P6) and uncompressed BMP (8, 24 and 32 bits) become numpy arrays, are shrunk by
+area to a quarter of their side with integral images, cut to a grid of NPY tiles of ``TILE`` by ``TILE`` pixels and
+described by a difference hash of each tile and of the whole. One row is one image: nothing is shuffled, and memory holds
+one image at a time, beside it only views of it and integral images of strips of about ``STRIP`` samples.
+
+Defined results: a null text counts as empty, whose payload is one row of spaces; equal texts have equal values; a tile at
+the right or lower edge is as small as what is left; a file that is no such image, is cut short or has more samples than it
+says raises ``ValueError``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ WIDTH = 64
 ROW = 3 * WIDTH
 PAD = 32
 
-#: Rows and columns of the difference hash, and side of an NPY tile.
-HASH, TILE = 8, 16
+#: Rows and columns of the difference hash, side of an NPY tile, and how many pixels of a side become one.
+HASH, TILE, SHRINK = 8, 16, 4
+#: Samples of a strip whose integral image is held at once (a strip has one row at least).
+STRIP = 1 << 20
 
 _SPACE = rb"(?:[\x20\t-\r]|#[^\r\n]*[\r\n])+"
 
@@ -57,15 +61,16 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as an (h, w, channels) array; samples of two bytes keep 16 bits, bitmaps become 0 (black) and 255."""
-    kind = int(data[1:2])
+    """P1 to P6 as an (h, w, channels) array; samples of two bytes keep 16 bits, bitmaps become 0 (black) and 255. Binary
+    samples of a byte are a view of the data."""
+    kind = int(bytes(data[1:2]))
     numbers = 2 if kind in (1, 4) else 3
     head = re.compile(rb"P[1-6]" + rb"".join([_SPACE + rb"(\d+)"] * numbers) + rb"[\x20\t-\r]").match(data)
     if head is None:
         raise ValueError("no Netpbm header")
     w, h, most = (*map(int, head.groups()), 1)[:3]
     channels = 3 if kind in (3, 6) else 1
-    count, body = w * h * channels, data[head.end() :]
+    count, body = w * h * channels, memoryview(data)[head.end() :]
     if not 0 < most < 65536 or not count:
         raise ValueError("bad Netpbm header")
     if kind == 4:
@@ -79,8 +84,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         if len(body) < count * kind_of.itemsize:
             raise ValueError("Netpbm data is cut short")
         samples = np.frombuffer(body, kind_of, count)
-        return samples.astype(kind_of.newbyteorder("=")).reshape(h, w, channels)
-    body = re.sub(rb"#[^\r\n]*", b" ", body)
+        return samples.astype(kind_of.newbyteorder("="), copy=False).reshape(h, w, channels)
+    body = re.sub(rb"#[^\r\n]*", b" ", bytes(body))
     values = [int(x) for x in (re.findall(rb"[01]", body) if kind == 1 else body.split())[:count]]
     if len(values) < count or max(values) > most:
         raise ValueError("Netpbm data is cut short or out of range")
@@ -119,23 +124,35 @@ def decode(data: bytes) -> np.ndarray:
 def area_resize(pixels: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Each output sample is the mean of the input area below it, fractions of pixels included.
 
-    The integral image is read at fractional corners by linear interpolation, which is exact for areas. Sums of samples
-    stay below 2**53, so doubles hold them exactly.
+    The integral image is read at fractional corners by linear interpolation, which is exact for areas. It is made strip by
+    strip from the last row of the strip before, and of each strip only the rows that corners lie between are kept, read at
+    the output's columns. Sums of samples stay below 2**53, so doubles hold them exactly.
     """
     h, w, channels = pixels.shape
-    total = np.zeros((h + 1, w + 1, channels))
-    np.cumsum(np.cumsum(pixels, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
 
-    def at(sums: np.ndarray, size: int, parts: int) -> np.ndarray:
+    def corners(size: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edge = np.arange(parts + 1) * size
-        whole, rest = edge // parts, (edge % parts) / parts
-        above = np.minimum(whole + 1, size)
-        rest = rest.reshape(-1, *[1] * (sums.ndim - 1))
-        return sums[whole] * (1 - rest) + sums[above] * rest
-
-    corners = at(total, h, rows)
-    corners = at(corners.swapaxes(0, 1), w, columns).swapaxes(0, 1)
-    areas = corners[1:, 1:] - corners[:-1, 1:] - corners[1:, :-1] + corners[:-1, :-1]
+        whole = edge // parts
+        return whole, np.minimum(whole + 1, size), (edge % parts) / parts
+
+    top, below, down = corners(h, rows)
+    left, right, across = corners(w, columns)
+    wanted = np.unique(np.concatenate([top, below]))
+    held = np.zeros((len(wanted), columns + 1, channels))
+    step = max(1, STRIP // (w * channels))
+    last = np.zeros((1, w + 1, channels))
+    for y in range(0, h, step):
+        strip = pixels[y : y + step]
+        total = np.zeros((len(strip) + 1, w + 1, channels))
+        np.cumsum(strip, axis=1, dtype=np.float64, out=total[1:, 1:])
+        np.cumsum(total[1:], axis=0, out=total[1:])
+        total += last
+        last = total[-1:].copy()
+        lo, hi = np.searchsorted(wanted, [y, y + len(strip) + (y + step >= h)])
+        at = total[wanted[lo:hi] - y]
+        held[lo:hi] = at[:, left] * (1 - across)[:, None] + at[:, right] * across[:, None]
+    sums = held[np.searchsorted(wanted, top)] * (1 - down)[:, None, None] + held[np.searchsorted(wanted, below)] * down[:, None, None]
+    areas = sums[1:, 1:] - sums[:-1, 1:] - sums[1:, :-1] + sums[:-1, :-1]
     return areas * (rows * columns / (h * w))
 
 
@@ -150,50 +167,76 @@ def difference_hash(pixels: np.ndarray) -> str:
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(pixels: np.ndarray, side: int = TILE) -> bytes:
-    """The image at side by side pixels of 8 bits, as an NPY file."""
+def npy(pixels: np.ndarray) -> bytes:
+    """The image as an NPY file of 8 bits."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(pixels, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(pixels), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
-STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+def tiled(pixels: np.ndarray, side: int = TILE, shrink: int = SHRINK) -> list[tuple[bytes, str]]:
+    """The image shrunk by area and cut, row by row, to tiles of at most ``side`` by ``side``: NPY file and difference hash of each."""
+    h, w = (max(1, -(-n // shrink)) for n in pixels.shape[:2])
+    small = area_resize(pixels, h, w)
+    cuts = (small[y : y + side, x : x + side] for y in range(0, h, side) for x in range(0, w, side))
+    return [(npy(c), difference_hash(c)) for c in cuts]
+
+
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles array<binary>, tile_hashes array<string>"
+
+
+def stored_form(text: memoryview | bytes) -> bytearray:
+    """A text's bytes, filled up, as the PPM file that holds them."""
+    n = len(text)
+    filled = n + (-n % ROW if n else ROW)
+    out = bytearray(b"P6\n%d %d\n255\n" % (WIDTH, filled // ROW))
+    out += text
+    out += bytes([PAD]) * (filled - n)
+    return out
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Per document: digests of the payload as read back, of the stored image, its difference hash and NPY tile."""
+    """Per document: digests of the payload as read back, of the stored image, its difference hash, and tiles with theirs."""
+
+    def one(text: pa.Scalar) -> tuple:
+        data = memoryview(text.as_buffer() or b"") if text.is_valid else b""
+        stored = stored_form(data)
+        image = decode(stored)
+        payload = memoryview(image.reshape(-1))
+        cuts = tiled(image)
+        hashes = (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+        return len(data), len(payload), *hashes, difference_hash(image), [t for t, _ in cuts], [h for _, h in cuts]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.string()))
+        names = [c.split()[0] for c in STORED.split(", ")]
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                data = (text.as_py() or "").encode()
-                stored = encode_ppm(np.frombuffer(pad(data), np.uint8).reshape(-1, WIDTH, 3))
-                image = decode(stored)
-                payload = image.tobytes()
-                rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), npy_tile(image)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            rows = [one(text) for text in batch.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            names = [c.split()[0] for c in STORED.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STORED)
 
 
-def tiles(images: DataFrame, column: str = "image", side: int = TILE) -> DataFrame:
-    """Per row of a binary column of image files: its rows, columns, NPY tile and difference hash; null for null.
+def tiles(images: DataFrame, column: str = "image", side: int = TILE, shrink: int = SHRINK) -> DataFrame:
+    """Per row of a binary column of image files: its rows, columns, difference hash, and NPY tiles with theirs; null for null.
 
-    Other columns are kept; the new ones are ``height``, ``width``, ``tile`` and ``dhash``.
+    Other columns are kept; the new ones are ``height``, ``width``, ``dhash``, ``tiles`` and ``tile_hashes``.
     """
+    new = ("height", "width", "dhash", "tiles", "tile_hashes")
 
-    @F.arrow_udf("struct<height int, width int, tile binary, dhash string>")
+    @F.arrow_udf("struct<height int, width int, dhash string, tiles array<binary>, tile_hashes array<string>>")
     def one(files: pa.Array) -> pa.Array:
         out = []
         for file in files:
-            pixels = None if file.as_py() is None else decode(file.as_py())
-            out.append(None if pixels is None else {"height": pixels.shape[0], "width": pixels.shape[1], "tile": npy_tile(pixels, side), "dhash": difference_hash(pixels)})
-        return pa.array(out, pa.struct([("height", pa.int32()), ("width", pa.int32()), ("tile", pa.binary()), ("dhash", pa.string())]))
-
-    keep = [F.col(f"`{c}`") for c in images.columns if c not in ("height", "width", "tile", "dhash")]
+            if not file.is_valid:
+                out.append(None)
+                continue
+            pixels = decode(file.as_py())
+            cuts = tiled(pixels, side, shrink)
+            out.append({"height": pixels.shape[0], "width": pixels.shape[1], "dhash": difference_hash(pixels), "tiles": [t for t, _ in cuts], "tile_hashes": [h for _, h in cuts]})
+        return pa.array(out, pa.struct([("height", pa.int32()), ("width", pa.int32()), ("dhash", pa.string()), ("tiles", pa.list_(pa.binary())), ("tile_hashes", pa.list_(pa.string()))]))
+
+    keep = [F.col(f"`{c}`") for c in images.columns if c not in new]
     return images.select(*keep, one(F.col(column)).alias("__m")).select(*keep, "__m.*")

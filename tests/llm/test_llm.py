@@ -1,8 +1,11 @@
 """The corpus operators against brute force, the vocabulary's own library, round trips and held-out labels; and their edge cases."""
 
 import hashlib
+import io
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -112,13 +115,58 @@ def test_bpe_dataframe_round_trip(spark):
     assert back == {1: "some</w> words</w> here</w>", 2: ""}
 
 
-def test_media_payload(edges):
-    got = {r["doc_id"]: r for r in media.describe(edges).collect()}
-    for i, text, *_ in EDGES:
+def brute_resize(pixels, rows, columns):
+    """Means of areas by repeating every pixel until areas are whole."""
+    h, w, c = pixels.shape
+    whole = np.kron(pixels.astype(float), np.ones((rows, columns, 1)))
+    return whole.reshape(rows, h, columns, w, c).mean(axis=(1, 3))
+
+
+def brute_hash(pixels):
+    """Bits of an image: whether each of 8 by 8 areas is darker than its right neighbour."""
+    small = brute_resize(pixels, 8, 9)
+    luma = np.round(small[:, :, 0] * 0.299 + small[:, :, 1] * 0.587 + small[:, :, 2] * 0.114, 6)
+    bits = "".join("01"[int(luma[y, x] < luma[y, x + 1])] for y in range(8) for x in range(8))
+    return f"{int(bits, 2):016x}"
+
+
+def test_media_payload(spark, edges, monkeypatch):
+    texts = [t for _, t, *_ in EDGES if len(t or "") < 1000] + ["rows of words " * 300, "é😀" * 900]
+    got = {r["doc_id"]: r for r in media.describe(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
         data = (text or "").encode()
         want = media.pad(data)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        pixels = np.frombuffer(want, np.uint8).reshape(-1, 64, 3)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media.encode_ppm(pixels)), hashlib.sha256(media.encode_ppm(pixels)).hexdigest())
+        assert r["feature"] == brute_hash(pixels)
+        small = brute_resize(pixels, -(-len(pixels) // 4), 16)
+        assert len(r["tiles"]) == len(r["tile_hashes"]) == -(-len(small) // 16)
+        for k, (tile, mark) in enumerate(zip(r["tiles"], r["tile_hashes"])):
+            part = small[16 * k : 16 * k + 16]
+            back = np.load(io.BytesIO(tile))
+            assert back.shape == part.shape and back.dtype == np.uint8 and np.abs(back - part).max() <= 0.5 + 1e-6
+            assert mark == brute_hash(part)
+    assert {r["doc_id"] for r in media.describe(edges).collect()} == {i for i, *_ in EDGES}
+
+
+def test_media_strips_make_no_difference(monkeypatch):
+    rng = np.random.default_rng(3)
+    for shape in ((37, 11, 3), (1, 5, 1), (64, 1, 3), (100, 64, 3)):
+        pixels = rng.integers(0, 256, shape, np.uint8)
+        for rows, columns in ((8, 9), (25, 16), (3, 2)):
+            want = brute_resize(pixels, rows, columns)
+            for strip in (1, 100, 1 << 20):
+                monkeypatch.setattr(media, "STRIP", strip)
+                assert np.allclose(media.area_resize(pixels, rows, columns), want)
+
+
+def test_media_memory_of_a_huge_image():
+    """A payload of 200 MB in less than 1 GB, in a process of its own."""
+    code = "import resource, pyarrow as pa\nfrom plumbline.llm import media\nd = media.stored_form(b'some words ' * 19_000_000)\np = media.decode(d)\nn = len(media.tiled(p))\nmedia.difference_hash(p)\nprint(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    n, peak = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert n == -(-(-(-(-(-209_000_000 // 192)) // 4)) // 16) and peak < 1000
 
 
 def test_media_formats():
@@ -140,7 +188,7 @@ def test_media_formats():
 def test_media_tiles(spark):
     rows = [(1, media.encode_bmp(np.zeros((4, 4, 3), np.uint8))), (2, None)]
     got = {r["tile_of"]: r for r in media.tiles(spark.createDataFrame(rows, "tile_of long, image binary")).collect()}
-    assert got[1]["dhash"] == "0" * 16 and got[1]["height"] == 4 and got[2]["tile"] is None
+    assert got[1]["dhash"] == "0" * 16 and got[1]["height"] == 4 and len(got[1]["tiles"]) == 1 and got[2]["tiles"] is None
 
 
 def jaccard(a, b):
