@@ -582,6 +582,47 @@ def test_boosting_separates():
     assert set(pii.cutoffs(m, rows)) == {5}
 
 
+def test_toxicity_risk_matches_brute_force():
+    rng = np.random.default_rng(0)
+    zp, zu = rng.normal(1, 2, 50), rng.normal(-1, 2, 300)
+    loss = lambda z, y: math.log(1 + math.exp(-y * z))
+    pos, neg = toxicity.risk(zp, zu, 0.2)
+    assert pos == pytest.approx(0.2 * sum(loss(z, 1) for z in zp) / 50)
+    assert neg == pytest.approx(sum(loss(z, -1) for z in zu) / 300 - 0.2 * sum(loss(z, -1) for z in zp) / 50)
+
+
+def test_toxicity_fit_is_a_minimum_and_corrects_for_the_prior():
+    rng = np.random.default_rng(7)
+    draw = lambda y: {w for w, p, q in (("a", 0.8, 0.1), ("b", 0.5, 0.2), ("c", 0.3, 0.3)) if rng.random() < (p if y else q)}
+    truth = rng.random(6000) < 0.3
+    pos, unl = [draw(True) for _ in range(2000)], [draw(y) for y in truth]
+    m = toxicity.Model(["a", "b", "c"], pos, unl, 0.3)
+    x = lambda sets: np.array([[w in s for w in "abc"] + [1] for s in sets], float)
+    w = np.array([m.weights.get(k, 0.0) for k in "abc"] + [m.bias])
+    at = lambda v: sum(toxicity.risk(x(pos) @ v, x(unl) @ v, 0.3)) + toxicity.DECAY / 2 * (v[:-1] ** 2).sum()
+    assert all(at(w) <= at(w + 0.1 * rng.normal(size=4)) + 1e-4 for _ in range(50))
+    # scores are the true probabilities, though no negative example was shown
+    for s in ({"a", "b"}, {"a"}, {"b"}, set()):
+        chance = lambda y: math.prod((p if y else q) if w in s else 1 - (p if y else q) for w, p, q in (("a", 0.8, 0.1), ("b", 0.5, 0.2), ("c", 0.3, 0.3)))
+        score = 1 / (1 + math.exp(-(m.bias + sum(m.weights.get(k, 0) for k in s))))
+        assert score == pytest.approx(0.3 * chance(True) / (0.3 * chance(True) + 0.7 * chance(False)), abs=0.08)
+
+
+def test_toxicity_words_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(bool(i % 4 == 0), sorted({f"w{j}" for j in rng.integers(0, 40, 6)} | ({"bad"} if i % 4 == 0 and i % 3 else set()))) for i in range(200)]
+    n, m = 50, 150
+    count = Counter((w, y) for y, ws in rows for w in ws)
+
+    def pull(w):
+        p, u = count[w, True], count[w, False]
+        every = (p + u + 1) / (n + m + 2)
+        return round(abs(p / n - u / m) / math.sqrt(every * (1 - every) * (1 / n + 1 / m)), 9)
+
+    want = sorted({w for w, _ in count if count[w, True] >= 3}, key=lambda w: (-pull(w), w))[:10]
+    assert toxicity.choose(spark.createDataFrame(rows, "positive boolean, words array<string>"), 10) == want and want[0] == "bad"
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(3)
     plain = [f"word{i}" for i in range(200)]
