@@ -35,11 +35,13 @@ def in_training(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a local one only where none is set, as in tests."""
+    """The checkpoint folder that the cluster names. A local session, as in tests, may go without; a cluster may not."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
@@ -66,11 +68,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(paths(sf_dir, name))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch, so that very long texts don't meet in one by the thousand."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 25) -> None:
+    """At most so many rows and bytes (of all rows but the last) in an Arrow batch, so that very long texts don't meet in one.
+
+    Batches are cut when a plan runs, so this lowers the session's own settings; it never raises them.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name, "-1")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 _remembering: dict[str, Callable[[], None]] = {}

@@ -111,25 +111,25 @@ FROM v
 """
 
 
-#: No page of the test tables holds more than chat_format.MOST rows, so part is 0 here.
 CHAT_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / 64.0), -1) AS BIGINT) AS page
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) // 1024 AS BIGINT) AS part
   FROM conversations
 ), s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 r AS (
-  SELECT t.conv_id, perspective, page, turn, role, text,
+  SELECT t.conv_id, perspective, part, turn, role, text,
     '<|im_start|>' || CASE WHEN role = 'system' THEN role WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), p AS (
-  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, page ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start,
-    row_number() OVER (PARTITION BY conv_id, perspective, page ORDER BY turn NULLS FIRST, role, text) AS rn
+  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start,
+    row_number() OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text) AS rn
   FROM r
 )
-SELECT conv_id, perspective, page, CAST(0 AS BIGINT) AS part, count(*) AS n_turns,
+SELECT conv_id, perspective, part, count(*) AS n_turns,
   string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY rn) AS text,
   coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(text) + 10 AS BIGINT), ',' ORDER BY rn) FILTER (WHERE role = perspective), '') AS mask
-FROM p GROUP BY conv_id, perspective, page
+FROM p GROUP BY conv_id, perspective, part
 """
 
 MIXING_SQL = r"""

@@ -656,7 +656,7 @@ TURNS = "conv_id long, turn long, role string, text string"
 
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Yo é"), (1, 3, None, None), (2, 0, "system", "alone"), (None, None, "ann", "x"), (1, 1, "ann", "Hi")]
-    got = {(r["conv_id"], r["perspective"]): r for r in chat_format.render(crowded(spark.createDataFrame(rows, TURNS))).collect()}
+    got = {(r["conv_id"], r["perspective"]): r for r in chat_format.render(crowded(spark.createDataFrame(rows, TURNS)).withColumn("part", F.lit(7))).collect()}
     assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
     r = got[1, "ann"]
     assert r["text"].startswith("<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>assistant\nHi<|im_end|>\n<|im_start|>assistant\nHi<|im_end|>\n<|im_start|>user name=bob\nYo é")
@@ -665,35 +665,42 @@ def test_chat_rotation(spark):
     assert chat_format.render(spark.createDataFrame([], TURNS)).collect() == []
 
 
-def test_chat_hot_dialogue_is_paged(spark, monkeypatch):
-    monkeypatch.setattr(chat_format, "MOST", 10)
-    rows = [(1, i % 3, "ann" if i % 2 else "bob", f"t{i}") for i in range(90)]
+def rendered(rows, most):
+    """(conv_id, perspective, part) -> (n_turns, text, mask) by plain loops."""
+    want = {}
+    for c in {d for d, *_ in rows}:
+        turns = sorted(((t is not None, t or 0), r or "unknown", x or "") for d, t, r, x in rows if d == c)
+        for speaker in {r for _, r, _ in turns} - {"system"}:
+            for at in range(0, len(turns), most):
+                text, mask = "", []
+                for _, r, x in turns[at : at + most]:
+                    text += "<|im_start|>" + ("system" if r == "system" else "assistant" if r == speaker else f"user name={r}") + "\n"
+                    mask += [f"{len(text)}:{len(text) + len(x) + 10}"] if r == speaker else []
+                    text += x + "<|im_end|>\n"
+                want[c, speaker, at // most] = (len(turns[at : at + most]), text, ",".join(mask))
+    return want
+
+
+def chat(spark, rows):
     got = chat_format.render(spark.createDataFrame(rows, TURNS)).collect()
-    assert sum(r["n_turns"] for r in got) == 180 and max(r["n_turns"] for r in got) < 30
-    whole = "".join(r["text"] for r in sorted(got, key=lambda r: (r["page"], r["part"])) if r["perspective"] == "ann")
-    assert Counter(re.findall(r"t\d+", whole)) == Counter(f"t{i}" for i in range(90))
+    out = {(r["conv_id"], r["perspective"], r["part"]): (r["n_turns"], r["text"], r["mask"]) for r in got}
+    assert len(out) == len(got)
+    return out
 
 
 @pytest.mark.parametrize("most", [7, 1024])
-def test_chat_parts_are_runs_of_the_order(spark, most, monkeypatch):
+def test_chat_matches_brute_force(spark, most, monkeypatch):
     monkeypatch.setattr(chat_format, "MOST", most)
     rows = [(c, None if i % 4 == 0 else i % 3, ["ann", "bob", "system"][i % 5 % 3], f"t{i * 7 % 90}") for i in range(90) for c in (1, None)]
-    rows += [(1, 70, "ann", "same")] * 33 + [(2, 1, "bob", "one"), (2, 0, "ann", None)]
-    got = chat_format.render(spark.createDataFrame(rows, TURNS)).collect()
-    want = {}
-    for c in (1, 2, None):
-        for p in (-1, 0, 1):
-            page = sorted(((-1 if t is None else t), r, x or "") for d, t, r, x in rows if d == c and (-1 if t is None else t // 64) == p)
-            for speaker in {r for d, _, r, _ in rows if d == c} - {"system"}:
-                for at in range(0, len(page), most):
-                    text, mask = "", []
-                    for _, r, x in page[at : at + most]:
-                        text += "<|im_start|>" + ("system" if r == "system" else "assistant" if r == speaker else f"user name={r}") + "\n"
-                        mask += [f"{len(text)}:{len(text) + len(x) + 10}"] if r == speaker else []
-                        text += x + "<|im_end|>\n"
-                    want[c, speaker, p, at // most] = (len(page[at : at + most]), text, ",".join(mask))
-    assert {(r["conv_id"], r["perspective"], r["page"], r["part"]): (r["n_turns"], r["text"], r["mask"]) for r in got} == want
-    assert len(got) == len(want)
+    rows += [(1, 70, "ann", "same")] * 33 + [(2, 1, "bob", "one"), (2, 0, "ann", None), (3, 0, "system", "alone")]
+    rows += [(4, 2**53 * (1 - 2 * (i % 2)) + i, ["ann", "bob"][i % 2], f"é{i}") for i in range(40)] + [(4, 2**63 - 1, None, "last"), (4, -(2**63), "bob", "first")]
+    assert chat(spark, rows) == rendered(rows, most)
+
+
+def test_chat_hot_and_equal_turns(spark):
+    rows = [(1, 2**53 + i // 3, "ann" if i % 2 else "bob", f"t{i}") for i in range(3000)] + [(1, 5, "ann", "same")] * 3000 + [(2, 0, "ann", "x")]
+    got = chat(spark, rows)
+    assert got == rendered(rows, chat_format.MOST) and max(p for _, _, p in got) == 5
 
 
 def test_pipeline_stages(spark, edges, tmp_path):
