@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,8 +75,8 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 25)
     Batches are cut when a plan runs, so this lowers the session's own settings; it never raises them.
     """
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = spark.conf.get(name, "-1")
-        if not (now.isdigit() and 0 < int(now) <= most):
+        number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(name).strip().lower()).groups()
+        if not 0 < int(number) << " kmgt".index(unit or " ") * 10 <= most:
             spark.conf.set(name, str(most))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat_format, lang_id, media, mixing, ngram_join, pii, quality, secrets, spans, toxicity
+from plumbline.llm import bpe, chat_format, common, lang_id, media, mixing, ngram_join, pii, quality, secrets, spans, toxicity
 from plumbline.llm.components import components
 from plumbline.llm.queries import vocabulary_path
 
@@ -526,6 +526,17 @@ def test_text_by_position(spark):
     assert [r[0] for r in df.select(spans.taken(spans.chunks(F.col("t")), F.col("a"), F.col("b"))).collect()] == [text[a:b] for a, b in at]
 
 
+def test_batches_are_bounded_and_never_widened(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for given, want in ((("10000", "1g"), ("1000", "33554432")), (("7", "1m"), ("7", "1m")), (("0", "5000b"), ("1000", "5000b"))):
+        for name, value in zip(names, given, strict=True):
+            spark.conf.set(name, value)
+        common.bounded_batches(spark)
+        assert tuple(spark.conf.get(n).removesuffix("b") for n in names) == tuple(v.removesuffix("b") for v in want)
+    for name in names:
+        spark.conf.unset(name)
+
+
 def test_many_spans_in_one_text(spark):
     n = 30_000
     text = "".join(f"{i:016x} x " for i in range(n)) + "client_id = abcdef +1 (555) 010-9999 4111 1111 1111 1111"
