@@ -6,7 +6,8 @@ before its longest match). A phrase names a place in the sample, so the cross en
 logarithm of the sample's length, for each letter; the language with the least is the prediction. Without that factor a
 language with a longer sample, and so longer matches, would win too often.
 
-The automata's moves are one hash table of numpy arrays, whose size follows the samples and not the alphabet. Many pieces
+The automata's moves are numpy arrays: a row a state while that takes no more than ``DENSE`` entries, else a hash table,
+whose size follows the samples and not the alphabet. Many pieces
 of text are parsed in step, one character of each at a time. Pieces of ``SEGMENT`` characters of a long text are parsed
 beside each other, then anew from the state in which the piece before ended, until both parses meet; after that they agree
 for good. So phrases are those of the whole text, whatever the length of pieces.
@@ -34,7 +35,9 @@ SAMPLE_DOCS, SAMPLE_CHARS = 48, 24_000
 WIDE = 6
 SEGMENT = 512
 #: Pieces parsed in step, and characters of text looked at together.
-STEP, CHUNK = 4096, 1 << 22
+STEP, CHUNK = 1024, 1 << 22
+#: Entries of a table with a row for each state; 32 bits each.
+DENSE = 1 << 24
 UNDETERMINED = "und"
 
 
@@ -140,7 +143,7 @@ class Moves:
 
 
 class Parser:
-    """Counts phrases of texts against the samples of all languages."""
+    """Counts phrases of texts against the samples of all languages. States are numbered in steps of the alphabet's size."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
@@ -152,51 +155,74 @@ class Parser:
             codes, _ = self.letters.codes([forms[k]])
             following = suffix_automaton(codes.tolist())
             keys += [(first + s) * size + c for s, row in enumerate(following) for c in row]
-            values += [first + t for row in following for t in row.values()]
-            roots.append(first)
+            values += [(first + t) * size for row in following for t in row.values()]
+            roots.append(first * size)
             weights.append(np.log(max(len(codes), 2)))
             first += len(following)
-        self._moves = Moves(np.array(keys, np.int64), np.array(values, np.int64))
-        self._roots, self._weights = np.array(roots, np.int64)[:, None], np.array(weights)
+        keys, values = np.array(keys, np.int64), np.array(values, np.int64)
+        self._weights = np.array(weights)
+        self._table: np.ndarray | None = None
+        kind = np.int32 if 2 * first * size < 2**31 else np.int64
+        self._roots = np.array(roots, kind)[:, None]
+        moves = Moves(keys, values)
         every = np.arange(size)
-        starts = self._moves.get(self._roots * size + every) if roots else np.zeros((0, size), np.int64)
-        self._starts = np.where(starts >= 0, starts, self._roots)
+        starts = moves.get(self._roots.astype(np.int64) + every) if roots else np.zeros((0, size), np.int64)
+        self._starts = np.where(starts >= 0, starts, self._roots).astype(kind)
+        self._known = starts >= 0
+        if first * size <= DENSE:
+            # twice the next state, plus 1 if a phrase begins
+            bounds = [*roots, first * size]
+            self._table = np.concatenate([np.tile(2 * s + 1, (n - m) // size) for s, m, n in zip(self._starts, bounds, bounds[1:], strict=False)]) if roots else np.zeros(0, kind)
+            self._table[keys] = 2 * values
+        else:
+            self._moves = moves
 
     def _step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States (languages by pieces) after a character of each piece, and whether it began a phrase."""
-        to = self._moves.get(state * self.letters.size + row)
+        if self._table is not None:
+            got = self._table.take(state + row)
+            return got >> 1, got & 1
+        to = self._moves.get((state + row).astype(np.int64))
         began = to < 0
         language, piece = np.nonzero(began)
         to[language, piece] = self._starts[language, row[piece]]
-        return to, began
-
-    def _parsed(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, found: np.ndarray, old: np.ndarray | None = None) -> np.ndarray:
-        """Parses pieces in step, longest first, from ``state``; adds begun phrases to ``found`` and returns the last states.
-
-        With ``old`` a parse from there is run beside and its phrases are taken off; a piece is left as soon as both meet in
-        all languages, and the states returned for it are -1.
-        """
-        ends = np.full_like(state, -1)
-        live = np.arange(len(size))
-        for i in range(int(size.max(initial=0))):
-            live_now = size[live] > i
-            if not live_now.all():
-                gone = live[~live_now]
-                ends[:, gone] = state[:, ~live_now]
-                live, state, old = live[live_now], state[:, live_now], None if old is None else old[:, live_now]
-            row = codes[start[live] + i]
+        return to.astype(state.dtype), began
+
+    def _parsed(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases begun in pieces, longest first, that are parsed in step from the root, and the states they end in."""
+        state = np.repeat(self._roots, len(size), axis=1)
+        ends, found = np.empty_like(state), np.zeros_like(state)
+        longest = int(size.max(initial=0))
+        rows = codes[np.minimum(start + np.arange(longest)[:, None], len(codes) - 1)].astype(state.dtype)
+        live = np.searchsorted(-size, -np.arange(longest), side="left")
+        for row, n in zip(rows, live.tolist(), strict=True):
+            if n < state.shape[1]:
+                ends[:, n : state.shape[1]] = state[:, n:]
+                state = np.ascontiguousarray(state[:, :n])
+            state, began = self._step(state, row[:n])
+            found[:, :n] += began
+        ends[:, : state.shape[1]] = state
+        return found, ends
+
+    def _mended(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many phrases more begin in pieces when entered in ``state`` instead of ``old``, and the states they then end
+        in: -1 where both parses meet before, from where on they agree."""
+        ends, more = np.full_like(state, -1), np.zeros(state.shape, np.int64)
+        live = np.flatnonzero((state != old).any(axis=0))
+        state, old = state[:, live], old[:, live]
+        i = 0
+        while len(live):
+            row = codes[start[live] + i].astype(state.dtype)
             state, began = self._step(state, row)
-            found[:, live] += began
-            if old is not None:
-                old, began = self._step(old, row)
-                found[:, live] -= began
-                apart = (state != old).any(axis=0)
-                if not apart.all():
-                    live, state, old = live[apart], state[:, apart], old[:, apart]
-            if not len(live):
-                break
-        ends[:, live] = state
-        return ends
+            old, before = self._step(old, row)
+            more[:, live] += began.astype(np.int64) - before
+            i += 1
+            apart, done = (state != old).any(axis=0), size[live] <= i
+            gone = apart & done
+            ends[:, live[gone]] = state[:, gone]
+            stay = apart & ~done
+            live, state, old = live[stay], state[:, stay], old[:, stay]
+        return more, ends
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and how many letters each text has."""
@@ -210,34 +236,25 @@ class Parser:
         start = begins[:-1][owner] + at * SEGMENT
         size = np.minimum(SEGMENT, lengths[owner] - at * SEGMENT)
         found = np.zeros((len(self.languages), len(owner)), np.int64)
-        ends = np.empty_like(found)
+        ends = np.zeros(found.shape, self._roots.dtype)
         order = np.argsort(-size, kind="stable")
         for first in range(0, len(order), STEP):
             ids = order[first : first + STEP]
-            got = np.zeros((len(self.languages), len(ids)), np.int64)
-            ends[:, ids] = self._parsed(codes, start[ids], size[ids], np.repeat(self._roots, len(ids), axis=1), got)
-            found[:, ids] = got
+            found[:, ids], ends[:, ids] = self._parsed(codes, start[ids], size[ids])
         # a text's first character begins a phrase, known or not
         heads = np.flatnonzero(at == 0)
-        found[:, heads] += self._moves.get(self._roots * self.letters.size + codes[start[heads]]) >= 0 if len(heads) else 0
+        found[:, heads] += self._known[:, codes[start[heads]]]
         # later pieces go on from the end of the one before, until that changes nothing
         since = np.repeat(self._roots, len(owner), axis=1)
         todo = np.flatnonzero(at > 0)
         while len(todo):
-            changed = []
-            for first in range(0, len(todo), STEP):
-                ids = todo[first : first + STEP]
-                ids = ids[np.argsort(-size[ids], kind="stable")]
-                got = np.zeros((len(self.languages), len(ids)), np.int64)
-                last = self._parsed(codes, start[ids], size[ids], ends[:, ids - 1], got, since[:, ids])
-                found[:, ids] += got
-                since[:, ids] = ends[:, ids - 1]
-                moved = (last[0] >= 0) & (last != ends[:, ids]).any(axis=0)
-                changed.append((ids[moved], last[:, moved]))
-            for ids, last in changed:
-                ends[:, ids] = last
-            after = np.concatenate([ids for ids, _ in changed]) + 1
-            todo = np.sort(after[(after < len(owner))])
+            entered = ends[:, todo - 1]
+            more, last = self._mended(codes, start[todo], size[todo], entered, since[:, todo])
+            found[:, todo] += more
+            since[:, todo] = entered
+            moved = todo[last.max(axis=0, initial=-1) >= 0]
+            ends[:, moved] = last[:, last.max(axis=0, initial=-1) >= 0]
+            todo = moved[moved + 1 < len(owner)] + 1
             todo = todo[at[todo] > 0]
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
         np.add.at(counts, owner, found.T)

@@ -288,7 +288,7 @@ def test_trie_is_walked_from_its_deepest_prefixes():
 
 
 def test_components_with_a_hot_node(spark, monkeypatch):
-    monkeypatch.setattr("plumbline.llm.components.HOT", 4)
+    monkeypatch.setattr("plumbline.llm.components.SAMPLE", 1)
     e = [(0, i) for i in range(1, 200)] + [(300 + i, 301 + i) for i in range(9)] + [(150, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(e, "a long, b long")).collect()))
     assert got == {i: 0 for i in [*range(200), *range(300, 310)]}
@@ -321,9 +321,10 @@ def parsed(t, sample):
     return n
 
 
-@pytest.mark.parametrize("segment", [3, 512])
-def test_language_phrases_match_brute_force(segment, monkeypatch):
+@pytest.mark.parametrize(("segment", "dense"), [(3, 0), (3, 1 << 24), (512, 0), (512, 1 << 24)])
+def test_language_phrases_match_brute_force(segment, dense, monkeypatch):
     monkeypatch.setattr(lang_id, "SEGMENT", segment)
+    monkeypatch.setattr(lang_id, "DENSE", dense)
     rng = np.random.default_rng(6)
     words = lambda pool, n: " ".join("".join(rng.choice(list(pool), rng.integers(1, 7))) for _ in range(n))
     samples = {"a": "the cat sat on the mat " + words("abcd", 80), "b": "un chat noir ééé " + words("bcdx", 30), "c": words("日本語中文字", 40)}
