@@ -11,25 +11,31 @@ from .common import cut
 MOST_ROUNDS = 60
 
 
-#: A node with more than this share of all edges is looked up in a broadcast table, which therefore has fewer than
-#: ``2 * HOT`` rows.
-HOT = 1000
+#: Edges are sampled, one in so many, for nodes that very many point to; of these at most so many are broadcast.
+SAMPLE, HOT = 16, 1000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """``edges`` (u, v) with the ``m`` of their u. Nodes of very many edges don't meet in a task of the join."""
-    hot = least.filter(F.col("degree") > n // HOT).select(F.col("u").alias("__u"), F.col("m").alias("__m"))
-    rows = edges.join(F.broadcast(hot), F.col("u") == F.col("__u"), "left")
-    usual = rows.filter("__u is null").select("u", "v").join(least.filter(F.col("degree") <= n // HOT).select("u", "m"), "u")
-    return usual.unionByName(rows.filter("__u is not null").select("u", "v", F.col("__m").alias("m")))
+def _pointed(e: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v) of n, tied to the least node that v points to, or v itself if it points to none.
+
+    Nodes that very many point to are guessed from a sample and looked up in a broadcast table, as their edges would meet in
+    one task of the join. A wrong guess costs time, not edges.
+    """
+    found = e.filter(F.pmod(F.xxhash64("u"), F.lit(SAMPLE)) == 0).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    hot = F.broadcast(found.filter(F.col("c") > max(n // (SAMPLE * HOT), 4)).select(F.col("v").alias("__v")))
+    known = least.join(hot, F.col("u") == F.col("__v"), "left_semi").select(F.col("u").alias("__u"), "m")
+    table = F.broadcast(hot.join(F.broadcast(known), F.col("__v") == F.col("__u"), "left").select("__v", F.col("m").alias("__m")))
+    rows = e.join(table, F.col("v") == F.col("__v"), "left")
+    usual = rows.filter("__v is null").select("u", "v").join(least.select(F.col("u").alias("__u"), "m"), F.col("v") == F.col("__u"), "left")
+    return usual.unionByName(rows.filter("__v is not null").select("u", "v", F.col("__m").alias("m"), F.col("__v").alias("__u"))).select("u", F.coalesce("m", "v").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): root is the least node of the component. Nodes without an edge do not appear.
 
-    Large and small stars in turn: every node's neighbours are tied to the least node it knows, until all hang on roots.
-    Minima are pre-aggregated, no neighbourhood is collected or joined in one task, and each round is written to the shared
-    checkpoint folder.
+    Edges run from the greater node u to the less one v. In each round every edge is tied to the least node that its v points
+    to, then all that a node points to are tied to the least of these, until all hang on roots (large and small stars).
+    Minima are pre-aggregated, no neighbourhood is collected, and each round is written to the shared checkpoint folder.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
@@ -38,9 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-        large = _with_least(both, least, now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _pointed(e, e.groupBy("u").agg(F.min("v").alias("m")), now[0]).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

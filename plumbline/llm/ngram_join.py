@@ -43,7 +43,9 @@ RECALL = 0.99999
 #: A pair is a candidate if so many of its hash values agree: six standard deviations below what the threshold gives.
 AGREE = int(HASHES * (0.8 - 6 * (0.8 * 0.2 / HASHES) ** 0.5))
 #: Texts of a block, and bytes of text of one that is verified (the longest text may be more).
-BLOCK, BLOCK_BYTES = 1024, 1 << 24
+BLOCK, BLOCK_BYTES = 256, 1 << 24
+#: The low bits of a trie's number tell its tree.
+TREE_BITS = 5
 #: Rows of (key, id) that may be broadcast: some 40 bytes each.
 BROADCAST_KEYS = 250_000
 #: Shingles hashed together, and words whose hash a worker remembers.
@@ -225,10 +227,10 @@ def descend(sigs: np.ndarray, tree: int, side: np.ndarray | None) -> list[tuple[
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, block, key, sig, tree) -> a spanning forest of what agrees."""
+    """Rows (bucket, i, j, block, key, sig) -> a spanning forest of what agrees."""
     for rows in _groups(batches):
         sigs = np.frombuffer(b"".join(r[5] for r in rows), ">u4").astype(np.uint32).reshape(len(rows), HASHES)
-        edges = descend(sigs, rows[0][6], None if rows[0][1] == rows[0][2] else np.array([r[3] for r in rows]))
+        edges = descend(sigs, rows[0][0] & ((1 << TREE_BITS) - 1), None if rows[0][1] == rows[0][2] else np.array([r[3] for r in rows]))
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array([rows[e[k]][4] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
@@ -282,13 +284,13 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = cut(signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.max("sig").alias("sig"), F.max("bytes").alias("bytes")))
 
     # roots of the tries: the first DEPTH values of each tree's paths
-    part = lambda t: F.struct(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH)).alias("bucket"), F.lit(t).alias("tree"))
-    paths = texts.filter("sig is not null").select("key", F.explode(F.array(*[part(t) for t in range(TREES)])).alias("p")).select("key", "p.bucket", "p.tree")
+    part = lambda t: F.shiftleft(F.xxhash64(F.lit(t), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH)), TREE_BITS) + t
+    paths = texts.filter("sig is not null").select("key", F.explode(F.array(*[part(t) for t in range(TREES)])).alias("bucket"))
     shared = paths.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("all")).filter("members > 1")
     # trees that found the same members need one comparison
     shared = shared.groupBy("members", "lo", "hi", "all").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
     met = paths.join(shared, "bucket").join(texts.select("key", "sig"), "key")
-    forest = _dealt(met, "bucket", F.col("members") / BLOCK, ["sig", "tree"]).mapInArrow(_candidates, "a binary, b binary")
+    forest = _dealt(met, "bucket", F.col("members") / BLOCK, ["sig"]).mapInArrow(_candidates, "a binary, b binary")
     families = cut(components(forest).select(F.col("node").alias("key"), F.col("root").alias("family")))
 
     members = families.join(texts.select("key", "least_id", "n", "bytes"), "key")
