@@ -200,6 +200,22 @@ def in_circle(a: Point, b: Point, c: Point, p: Point) -> Column:
     return ax * (by * cq - bq * cy) - ay * (bx * cq - bq * cx) + aq * (bx * cy - by * cx) > 0
 
 
+def in_circle_share(a: Point, b: Point, c: Point, p: Point) -> Column:
+    """How far p is inside the circle through the counter-clockwise triangle abc, from -1 to 1, wherever the triangle lies and
+    however large it is: the determinant of ``in_circle`` over the lengths of its rows, in units of the farthest corner."""
+    sides = [minus(v, p) for v in (a, b, c)]
+    unit = F.greatest(*[length(v) for v in sides])
+    rows = []
+    for v in sides:
+        x, y = v[0] / unit, v[1] / unit
+        rows.append((x, y, x * x + y * y))
+    (ax, ay, aq), (bx, by, bq), (cx, cy, cq) = rows
+    size = 1.0
+    for x, y, q in rows:
+        size = size * F.sqrt(x * x + y * y + q * q)
+    return F.when(size > 0, (ax * (by * cq - bq * cy) - ay * (bx * cq - bq * cx) + aq * (bx * cy - by * cx)) / size).otherwise(0.0)
+
+
 def angle_degrees(a: Point, b: Point, c: Point) -> Column:
     """The angle at a."""
     u, v = minus(b, a), minus(c, a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import numbered
+from plumbline.operators.ordering import cut, numbered
 
 
 def dedup(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def vertex_count(edges: DataFrame) -> DataFrame:
 
 def csr_offsets(edges: DataFrame) -> DataFrame:
     """(u, offset, degree) of vertices with edges in the order of ids: exclusive sums of the degrees, by ranges of ids."""
-    d = degrees(edges).repartitionByRange("u").withColumn("__p", F.spark_partition_id())
+    # written, as the bounds of ranges are drawn by sampling and a second evaluation could draw others
+    d = cut(degrees(edges).repartitionByRange("u").withColumn("__p", F.spark_partition_id()))
     inside = F.sum("degree").over(Window.partitionBy("__p").orderBy("u").rowsBetween(Window.unboundedPreceding, -1))
     sums = d.groupBy("__p").agg(F.sum("degree").alias("__s"))
     before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
-from plumbline.operators.partition import SpatialFrame
+from plumbline.operators.partition import SpatialFrame, Splits
 
 #: Queries that may be broadcast, after a count, when every pair is looked at.
 BROADCAST_QUERIES = 10_000
@@ -33,20 +33,26 @@ def brute(points: DataFrame, queries: DataFrame, k: int, distance: Column, inclu
 def pruned(frame: SpatialFrame, queries: DataFrame, k: int, nid: str, include_self: bool = True) -> DataFrame:
     """k-NN through leaves: ``queries`` has qid and the frame's dimensions.
 
-    Leaves are taken in order of their farthest corner until they hold k points: that corner bounds the k-th distance.
-    Every leaf that comes as near as the bound (ties included) is then searched by an equi-join on leaf.
+    The leaf that a query falls in bounds its k-th distance by the leaf's farthest corner, if it holds k points. A leaf that
+    comes as near as the bound (ties included) is then searched by an equi-join on leaf. Only queries of leaves with too few
+    points look at all leaves, in order of their farthest corner until these hold k points.
     """
     dims = frame.dims
     need = k if include_self else k + 1
     q = queries.select("qid", *[F.col(c).alias(f"q_{c}") for c in dims])
     at = [F.col(f"q_{c}") for c in dims]
     lo, hi = [F.col(f"lo_{c}") for c in dims], [F.col(f"hi_{c}") for c in dims]
-    near = q.join(F.broadcast(frame.stats())).select("qid", *at, "leaf_id", "n", G.box_min_dist2(at, lo, hi).alias("near"), G.box_max_dist2(at, lo, hi).alias("far"))
+    stats = F.broadcast(frame.stats())
+    home = q.withColumn("__home", Splits([f"q_{c}" for c in dims], frame.splits.nodes).leaf())
+    home = home.join(stats, F.col("__home") == F.col("leaf_id"), "left").select("qid", *at, F.when(F.col("n") >= need, G.box_max_dist2(at, lo, hi)).alias("reach"))
+    sure = home.filter("reach is not null").join(stats, G.box_min_dist2(at, lo, hi) <= F.col("reach")).select("leaf_id", "qid", "reach", *at)
+    near = home.filter("reach is null").drop("reach").join(stats).select("qid", *at, "leaf_id", "n", G.box_min_dist2(at, lo, hi).alias("near"), G.box_max_dist2(at, lo, hi).alias("far"))
     order = Window.partitionBy("qid").orderBy("far", "leaf_id")
     near = near.withColumn("held", F.sum("n").over(order))
     reach = F.min(F.when(F.col("held") >= need, F.col("far"))).over(Window.partitionBy("qid"))
     visited = near.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("near") <= F.col("reach")))
-    rows = frame.points.select("leaf_id", F.col(nid).alias("nid"), *dims).join(visited.select("leaf_id", "qid", "reach", *[F.col(f"q_{c}") for c in dims]), "leaf_id")
+    visited = sure.unionByName(visited.select("leaf_id", "qid", "reach", *[F.col(f"q_{c}") for c in dims]))
+    rows = frame.points.select("leaf_id", F.col(nid).alias("nid"), *dims).join(visited, "leaf_id")
     rows = rows.withColumn("dist2", G.dist2(G.cols(dims), at)).filter(F.col("reach").isNull() | (F.col("dist2") <= F.col("reach")))
     if not include_self:
         rows = rows.filter(F.col("nid") != F.col("qid"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 
-#: Slack of the in-circle test.
+#: Slack of the in-circle test, as a share.
 TOLERANCE = 1e-10
 
 
@@ -39,8 +39,7 @@ def check_delaunay(triangles: DataFrame, points: DataFrame) -> DataFrame:
     apex = F.array_except("far", F.array("v0", "v1", "v2"))[0]
     rows = rows.withColumn("p", apex).join(points.select(F.col("id").alias("p"), "x", "y"), "p")
     a, b, c, p = [[F.col(f"x{k}"), F.col(f"y{k}")] for k in range(3)] + [[F.col("x"), F.col("y")]]
-    closer = [p[0] * (1 - TOLERANCE), p[1] * (1 - TOLERANCE)]
-    return rows.filter(G.in_circle(a, b, c, p) & G.in_circle(a, b, c, closer)).select("t", "k", "other")
+    return rows.filter(G.in_circle_share(a, b, c, p) > TOLERANCE).select("t", "k", "other")
 
 
 def flip(triangles: DataFrame, t: int, other: int) -> DataFrame:

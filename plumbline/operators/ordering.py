@@ -12,11 +12,13 @@ PLACE_BITS = 33
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the checkpoint folder that the cluster names; a local one only where none is set, as in tests."""
+    """Materialise in the checkpoint folder that the cluster names. A local session, as in tests, may go without; a cluster may not."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="plumbline-checkpoint-")

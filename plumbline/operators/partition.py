@@ -44,6 +44,20 @@ class Splits:
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth())), F.lit(1).cast("long"), step)
 
+    def cells(self) -> list[tuple]:
+        """(leaf, from, to, from, to, ...) of every leaf: the part of space below and from the values of the nodes above it."""
+        out = []
+        stack = [(1, [(float("-inf"), float("inf"))] * len(self.dims))]
+        while stack:
+            node, box = stack.pop()
+            if node not in self.nodes:
+                out.append((node, *[x for side in box for x in side]))
+                continue
+            d, v = self.nodes[node]
+            low, high = box[d]
+            stack += [(2 * node, [*box[:d], (low, float(v)), *box[d + 1 :]]), (2 * node + 1, [*box[:d], (float(v), high), *box[d + 1 :]])]
+        return out
+
     def _case(self, node: int) -> Column:
         if node not in self.nodes:
             return F.lit(node).cast("long")
@@ -135,6 +149,12 @@ class SpatialFrame:
 
         return SpatialFrame(delete_with_payload(self.points, batch, key), self.dims, self.splits)
 
+    def settled(self) -> SpatialFrame:
+        """The same frame with its points written to the checkpoint folder: leaves are stored and lineage ends."""
+        from plumbline.operators.ordering import cut
+
+        return SpatialFrame(cut(self.points), self.dims, self.splits)
+
     def rebalance(self, capacity: int) -> SpatialFrame:
         """Splits leaves that hold more than ``capacity`` rows anew; the others keep their rows and numbers."""
         nodes = dict(self.splits.nodes)
@@ -149,10 +169,20 @@ class SpatialFrame:
         return SpatialFrame(self.points.drop("leaf_id").withColumn("leaf_id", splits.leaf()), self.dims, splits)
 
     def validate(self) -> DataFrame:
-        """One row: sizes add up, every point is in its leaf's box and every leaf's box in the whole one."""
+        """One row: sizes add up, and the box around each leaf's points lies in the cell that the splits give that leaf (a leaf
+        number that the splits don't have fails), so every point is where a search looks for it. Cells are below their upper
+        ends and from their lower ends on; they follow from the splits alone, not from the expression that assigns points."""
         s = self.stats()
-        total = s.agg(F.sum("n").alias("n_in_leaves"), F.count(F.lit(1)).alias("leaves"), F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"))
-        rows = self.points.agg(F.count(F.lit(1)).alias("n_points"), F.coalesce(F.bool_and(F.col("leaf_id") == self.splits.leaf()), F.lit(True)).alias("leaves_hold"))
+        cells = s.sparkSession.createDataFrame(self.splits.cells(), "__leaf long, " + ", ".join(f"__from_{c} double, __to_{c} double" for c in self.dims))
+        inside = F.lit(True)
+        for c in self.dims:
+            inside = inside & (F.col(f"lo_{c}") >= F.col(f"__from_{c}")) & ((F.col(f"hi_{c}") < F.col(f"__to_{c}")) | (F.col(f"__to_{c}") == float("inf")))
+        s = s.join(F.broadcast(cells), F.col("leaf_id") == F.col("__leaf"), "left")
+        total = s.agg(
+            F.sum("n").alias("n_in_leaves"), F.count(F.lit(1)).alias("leaves"), F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"),
+            F.coalesce(F.bool_and(F.col("__leaf").isNotNull() & F.coalesce(inside, F.lit(False))), F.lit(True)).alias("leaves_hold"),
+        )
+        rows = self.points.agg(F.count(F.lit(1)).alias("n_points"))
         return rows.join(total).select("n_points", "n_in_leaves", "leaves", "max_depth", "mean_depth", "leaves_hold", (F.col("n_points") == F.coalesce("n_in_leaves", F.lit(0))).alias("sizes_hold"))
 
 

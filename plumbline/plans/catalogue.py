@@ -471,16 +471,24 @@ def distinct_points(spark, d):
 @query(f"{_with(ORDERS_SQL)} SELECT s AS step, (SELECT count(*) FROM od WHERE id % 10 < s) AS n, (SELECT max(x) FROM od WHERE id % 10 < s) AS hi_x FROM range(1, 11) t(s)")
 def incremental_build(spark, d):
     p = tables.orders(spark, d)
-    steps = spark.range(1, 11).select(F.col("id").alias("step"))
-    slices = p.groupBy((F.col("id") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("hi_x"))
-    return steps.join(F.broadcast(slices), F.col("k") < F.col("step")).groupBy("step").agg(F.sum("n").alias("n"), F.max("hi_x").alias("hi_x"))
+    f, out = SpatialFrame.build(p.filter("id % 10 = 0"), XY), None
+    for step in range(1, 11):
+        if step > 1:
+            f = f.insert(p.filter(F.col("id") % 10 == step - 1)).settled()
+        row = f.stats().agg(F.sum("n").alias("n"), F.max("hi_x").alias("hi_x")).select(F.lit(step).cast("long").alias("step"), "n", "hi_x")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"{_with(ORDERS_SQL)} SELECT s AS step, (SELECT count(*) FROM od WHERE id % 10 >= s) AS n FROM range(1, 10) t(s)")
 def incremental_delete(spark, d):
     p = tables.orders(spark, d)
-    slices = p.groupBy((F.col("id") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(1, 10).select(F.col("id").alias("step")).join(F.broadcast(slices), F.col("k") >= F.col("step")).groupBy("step").agg(F.sum("n").alias("n"))
+    f, out = SpatialFrame.build(p, XY), None
+    for step in range(1, 10):
+        f = f.delete(p.filter(F.col("id") % 10 == step - 1), ["id", "x", "y"]).settled()
+        row = f.stats().agg(F.sum("n").alias("n")).select(F.lit(step).cast("long").alias("step"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"{_with(PART_SQL, _asked_sql('pt'))} {_knn_sql('pt', 10)}")
@@ -503,18 +511,19 @@ def knn_after_rebalance(spark, d):
     return knn.pruned(SpatialFrame.build(p, XY, 4).rebalance(max(16, p.count() // 8)), _asked(p), 10, "id")
 
 
-_LAST = 29
-_WINDOWED = f"w AS (SELECT *, unnest(range(day, least(day + 4, {_LAST}) + 1)) AS w FROM ev)"
+_WINDOWED = "w AS (SELECT *, unnest(range(day, least(day + 4, (SELECT max(day) FROM ev)) + 1)) AS w FROM ev)"
 
 
 @query(f"{_with(EVENTS_SQL, _WINDOWED)} SELECT CAST(w AS INTEGER) AS w, count(*) AS n, min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y FROM w GROUP BY w")
 def sliding_window_stats(spark, d):
-    return windows.merged(tables.events(spark, d), "day", 5, _LAST, XY)
+    e = tables.events(spark, d)
+    return windows.merged(e, "day", 5, windows.last_batch(e, "day"), XY)
 
 
 @query(f"{_with(EVENTS_SQL, _WINDOWED)} SELECT CAST(w AS INTEGER) AS w, count(DISTINCT x) AS users FROM w GROUP BY w")
 def sliding_window_users(spark, d):
-    return windows.window_stats(tables.events(spark, d), "day", 5, _LAST, [F.countDistinct("x").alias("users")])
+    e = tables.events(spark, d)
+    return windows.window_stats(e, "day", 5, windows.last_batch(e, "day"), [F.countDistinct("x").alias("users")])
 
 
 @query(f"""{_with(EVENTS_SQL, _WINDOWED)}, d AS (SELECT w, id AS nid, (x - 500) * (x - 500) + (y - 50) * (y - 50) AS dist2 FROM w)
@@ -522,7 +531,8 @@ SELECT CAST(w AS INTEGER) AS w, nid, dist2 FROM (SELECT *, row_number() OVER (PA
 def sliding_window_knn(spark, d):
     from pyspark.sql import Window
 
-    rows = windows.held(tables.events(spark, d), "day", 5, _LAST)
+    e = tables.events(spark, d)
+    rows = windows.held(e, "day", 5, windows.last_batch(e, "day"))
     rows = rows.select("w", F.col("id").alias("nid"), G.dist2(_c(*XY), [F.lit(500.0), F.lit(50.0)]).alias("dist2"))
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("w").orderBy("dist2", "nid"))).filter("r <= 10").drop("r")
 

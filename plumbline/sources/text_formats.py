@@ -11,17 +11,24 @@ from plumbline.operators.ordering import numbered
 
 
 def tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(i, token) of a text file in file order, separators being white space and NUL. Lines keep their place by file offset order."""
-    lines = spark.read.text(path).withColumn("__l", F.monotonically_increasing_id())
-    each = lines.select("__l", F.posexplode(F.split("value", r"[\s\x00]+")).alias("__k", "token")).filter("token <> ''")
-    return numbered(each, ["__l", "__k"]).select("i", "token")
+    """(i, token) of text files, in the order of their paths, then of lines; separators are white space and NUL."""
+    each = _lines(spark, path).select(*_PLACE, F.posexplode(F.split("value", r"[\s\x00]+")).alias("__k", "token")).filter("token <> ''")
+    return numbered(each, [*_PLACE, "__k"]).select("i", "token")
+
+
+#: Splits are planned by size, so a line's place is its file, then its split, then its number within that.
+_PLACE = ["__f", "__b", "__l"]
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__l"))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """``N DIM`` and then coordinates in any line layout -> (id, x0, x1, ...). Ids are places in the file."""
-    head = [t for r in spark.read.text(path).filter(F.trim("value") != "").limit(2).collect() for t in r[0].split()]
-    n, d = int(head[0]), int(head[1])
-    return _records(tokens(spark, path).filter("i >= 2"), 2, d).filter(F.col("id") < n)
+    every = tokens(spark, path)
+    n, d = (int(r["token"]) for r in every.filter("i < 2").orderBy("i").collect())
+    return _records(every.filter("i >= 2"), 2, d).filter(F.col("id") < n)
 
 
 def read_headed_points(spark: SparkSession, path: str, d: int) -> DataFrame:
@@ -31,7 +38,7 @@ def read_headed_points(spark: SparkSession, path: str, d: int) -> DataFrame:
 
 
 def _expect(spark: SparkSession, path: str, header: str) -> None:
-    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    first = _lines(spark, path).filter(F.trim("value") != "").orderBy(*_PLACE).first()
     if first is None or first[0].split()[:1] != [header]:
         raise ValueError(f"{path}: not headed {header}")
 

@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 
 
 def held(rows: DataFrame, batch: str, width: int, last: int) -> DataFrame:
-    """Every row with each window (``w``, up to ``last``) that holds it: window w is the batches w - width + 1 to w."""
+    """Every row with each window (``w``, up to ``last``) that holds it: window w is the batches w - width + 1 to w. Rows of
+    later batches are in none."""
+    rows = rows.filter(F.col(batch) <= last)
     return rows.withColumn("w", F.explode(F.sequence(F.col(batch), F.least(F.col(batch) + width - 1, F.lit(last)))))
 
 
+def last_batch(rows: DataFrame, batch: str) -> int:
+    """The latest batch; -1 for no rows, where no window holds anything."""
+    last = rows.agg(F.max(batch)).first()[0]
+    return -1 if last is None else int(last)
+
+
 def window_stats(rows: DataFrame, batch: str, width: int, last: int, stats: Sequence[Column]) -> DataFrame:
     """Aggregates by window, for aggregates that may be taken by batch first (count, sum, min, max) use ``merged``."""
     return held(rows, batch, width, last).groupBy("w").agg(*stats)

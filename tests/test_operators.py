@@ -216,3 +216,51 @@ def test_stream_counts_match_batch(spark, tmp_path):
     q.awaitTermination()
     want = rows.groupBy(F.window("ts", "2 days", "1 day")).count().collect()
     assert sorted(r["n"] for r in spark.table("counts").collect()) == sorted(r["count"] for r in want)
+
+
+def test_windows_end_with_the_last_batch(spark):
+    rows = spark.createDataFrame([(i, i) for i in (0, 3, 28, 29, 31)], "id int, day int")
+    got = sorted((r["day"], r["w"]) for r in windows.held(rows, "day", 3, 29).collect())
+    assert got == [(d, w) for d in (0, 3, 28, 29) for w in range(d, min(d + 2, 29) + 1)]
+    assert windows.last_batch(rows, "day") == 31 and windows.last_batch(rows.limit(0), "day") == -1
+
+
+def test_tokens_of_several_files_come_in_order(spark, tmp_path):
+    # splits are planned by size, the largest first
+    for i, n in enumerate((1, 50, 4000)):
+        (tmp_path / f"part-{i}.txt").write_text("".join(f"{i}:{k}\n" for k in range(n)))
+    got = [r["token"] for r in text_formats.tokens(spark, str(tmp_path)).orderBy("i").collect()]
+    assert got == [f"{i}:{k}" for i, n in enumerate((1, 50, 4000)) for k in range(n)]
+
+
+def test_delaunay_check_does_not_depend_on_the_place(spark):
+    t = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 3, 2)], "t long, v0 long, v1 long, v2 long")
+    for shift, scale in ((0.0, 1.0), (1e4, 1.0), (-1e3, 1e-2)):
+        for far, bad in ((0.9, 2), (1.0, 0), (1.1, 0)):
+            at = [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0), (3, far, far)]
+            p = spark.createDataFrame([(i, shift + scale * x, shift + scale * y) for i, x, y in at], "id long, x double, y double")
+            assert meshes.check_delaunay(t, p).count() == bad
+
+
+def test_validate_finds_planted_faults(spark):
+    p = spark.range(500).select("id", (F.col("id") % 25).cast("double").alias("x"), F.floor(F.col("id") / 25).cast("double").alias("y"))
+    f = SpatialFrame.build(p, ["x", "y"], 8)
+    assert f.validate().first()["leaves_hold"]
+    one = f.points.filter("id = 0").first()["leaf_id"]
+    other = f.points.filter(F.col("leaf_id") != one).first()["leaf_id"]
+    for wrong in (other, 1, 10**6):
+        moved = f.points.withColumn("leaf_id", F.when(F.col("id") == 0, F.lit(wrong)).otherwise(F.col("leaf_id")).cast("long"))
+        assert not SpatialFrame(moved, f.dims, f.splits).validate().first()["leaves_hold"]
+
+
+def test_neighbours_without_a_product_of_queries_and_leaves(spark):
+    p = spark.range(2000).select("id", (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 97).cast("double").alias("y"))
+    q = p.filter("id % 50 = 0").select(F.col("id").alias("qid"), "x", "y")
+    rows = p.collect()
+    for leaves, k in ((16, 5), (64, 60)):  # with few points a leaf, leaves with less than k as well
+        got = {}
+        for r in knn.pruned(SpatialFrame.build(p, ["x", "y"], leaves), q, k, "id").collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["dist2"], r["nid"]))
+        for a in q.collect():
+            near = sorted(((b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2, b["id"]) for b in rows)[:k]
+            assert [(d, i) for _, d, i in sorted(got[a["qid"]])] == near
