@@ -113,6 +113,25 @@ def ball_meets_box(centre: Point, radius: Column, lo: Point, hi: Point) -> Colum
     return box_min_dist2(centre, lo, hi) <= radius * radius
 
 
+def strictly_in_box(p: Point, lo: Point, hi: Point) -> Column:
+    """The border does not count."""
+    return _all([(x > a) & (x < b) for x, a, b in zip(p, lo, hi, strict=True)])
+
+
+def widened(lo: Point, hi: Point, by: Column | float) -> tuple[list[Column], list[Column]]:
+    """The box with every side moved out, or in for less than nothing; predicates of it are those with slack."""
+    return [a - by for a in lo], [b + by for b in hi]
+
+
+def same_box(alo: Point, ahi: Point, blo: Point, bhi: Point, slack: float = 0.0) -> Column:
+    return _all([F.abs(a - b) <= slack for a, b in zip([*alo, *ahi], [*blo, *bhi], strict=True)])
+
+
+def outside_cube(p: Point, centre: Point, half: Column | float) -> Column:
+    """Not in the closed cube of that half side."""
+    return ~_all([(c - half <= x) & (x <= c + half) for x, c in zip(p, centre, strict=True)])
+
+
 def widest_dimension(lo: Point, hi: Point) -> Column:
     """Index of the longest side, from 0; the lowest of equals."""
     sides = F.array(*[b - a for a, b in zip(lo, hi, strict=True)])
@@ -186,6 +205,22 @@ def triangle_area2(a: Point, b: Point, c: Point) -> Column:
     return cross2(minus(b, a), minus(c, a))
 
 
+def triangle_area_share(a: Point, b: Point, c: Point) -> Column:
+    """``triangle_area2`` over the lengths of the sides at a: the sine of its angle; null where a side has no length."""
+    return triangle_area2(a, b, c) / F.nullif(length(minus(b, a)) * length(minus(c, a)), F.lit(0.0))
+
+
+def lifted(v: Point) -> list[Column]:
+    """The vector with its own square as a further coordinate."""
+    return [*v, dot(v, v)]
+
+
+def in_circle_number(a: Point, b: Point, c: Point, p: Point) -> Column:
+    """The determinant of ``in_circle`` over the lengths of its rows, in the units of the points; null where p is a corner."""
+    u, v, w = (lifted(minus(x, p)) for x in (a, b, c))
+    return dot(cross3(u, v), w) / F.nullif(length(u) * length(v) * length(w), F.lit(0.0))
+
+
 def counter_clockwise(a: Point, b: Point, c: Point) -> Column:
     return triangle_area2(a, b, c) > 0
 
@@ -251,5 +286,10 @@ def morton(cells: Sequence[Column], bits: int) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
+def in_low_half(key: Column, bits: int) -> Column:
+    """Whether the last ``bits`` bits of a key, at most 63, are no more than half of what they can hold."""
+    return key.bitwiseAND(F.lit((1 << bits) - 1)) <= F.lit(1 << (bits - 1))
+
+
 def morton_bits(dimensions: int) -> int:
     return min(63 // dimensions, math.floor(64 / dimensions))

@@ -31,6 +31,30 @@ def with_corners(triangles: DataFrame, points: DataFrame) -> DataFrame:
     return triangles
 
 
+def rotated(triangles: DataFrame) -> DataFrame:
+    """The same triangles with the next corner first: edge k is edge k + 1 of before."""
+    return triangles.withColumns({"v0": F.col("v1"), "v1": F.col("v2"), "v2": F.col("v0")})
+
+
+def _by_edge(rows: DataFrame, name: str, value) -> DataFrame:
+    """(t, k, name): ``value`` of each edge's first corner, second corner and the one that faces it."""
+    at = [[F.col(f"x{k}"), F.col(f"y{k}")] for k in range(3)]
+    each = [F.struct(F.lit(k).alias("k"), value(at[k], at[(k + 1) % 3], at[(k + 2) % 3]).alias(name)) for k in range(3)]
+    return rows.select("t", F.explode(F.array(*each)).alias("__e")).select("t", "__e.k", f"__e.{name}")
+
+
+def far_angles(triangles: DataFrame, points: DataFrame) -> DataFrame:
+    """(t, k, angle): the angle, in degrees, that faces edge k; corners must be apart."""
+    return _by_edge(with_corners(triangles, points), "angle", lambda a, b, far: G.angle_degrees(far, a, b))
+
+
+def outside_edges(triangles: DataFrame, points: DataFrame, asked: DataFrame) -> DataFrame:
+    """(t, k) for ``asked`` pairs (t, id): the edges that point id lies beyond, of a triangle whose corners go counter-clockwise."""
+    rows = with_corners(triangles.join(asked, "t"), points).join(points.select("id", "x", "y"), "id")
+    p = [F.col("x"), F.col("y")]
+    return _by_edge(rows, "beyond", lambda a, b, far: G.counter_clockwise(b, a, p)).filter("beyond").select("t", "k")
+
+
 def check_delaunay(triangles: DataFrame, points: DataFrame) -> DataFrame:
     """Edges (t, k, other) whose far corner lies inside the triangle's circle: none in a Delaunay mesh."""
     beside = neighbours(triangles).filter("other is not null")

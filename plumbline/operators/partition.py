@@ -44,6 +44,14 @@ class Splits:
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth())), F.lit(1).cast("long"), step)
 
+    def node_count(self) -> int:
+        """Inner nodes and leaves: every split has two nodes below it."""
+        return 2 * len(self.nodes) + 1
+
+    def out_of_turn(self) -> list[int]:
+        """The nodes whose split is not over the dimension whose turn it is at their depth."""
+        return sorted(node for node, (d, _) in self.nodes.items() if d != (node.bit_length() - 1) % len(self.dims))
+
     def cells(self) -> list[tuple]:
         """(leaf, from, to, from, to, ...) of every leaf: the part of space below and from the values of the nodes above it."""
         out = []

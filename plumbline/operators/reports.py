@@ -47,6 +47,23 @@ def labelled_groups(lines: DataFrame, order: str, pattern: str) -> DataFrame:
     return marked.withColumn("label", label)
 
 
+#: The ratios that the pairs of lines of a balance log stand for, in order.
+RATIOS = (1, 1, 2, 3, 4, 5, 6, 10, 20, 30, 40, 45, 46, 47, 48, 49, 50)
+
+
+def even_lines(lines: DataFrame, order: Sequence[str], labels: Sequence[int] = RATIOS) -> DataFrame:
+    """Every second line in a total order, from the second on, headed by its label; those past the last label have none."""
+    from plumbline.operators.ordering import numbered
+
+    kept = numbered(lines, order, "__i").filter(F.col("__i") % 2 == 1)
+    label = F.get(F.array(*[F.lit(str(x)) for x in labels]), F.floor(F.col("__i") / 2).cast("int"))
+    return kept.withColumn("value", F.concat(F.coalesce(label, F.lit("")), F.lit(" "), "value")).drop("__i")
+
+
+def with_commas(line: Column) -> Column:
+    return F.replace(line, F.lit(" "), F.lit(","))
+
+
 def metric_line(rows: DataFrame, columns: Sequence[str], missing: str = "-1") -> DataFrame:
     """One space-separated line a row."""
     return rows.select(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns]).alias("value"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
-from plumbline.operators import graphs, knn, meshes, mutate, partition, ranges, reports
+from plumbline.operators import graphs, increments, knn, meshes, mutate, partition, ranges, reports
 from plumbline.operators.ordering import numbered, value_at_rank
 from plumbline.operators.partition import SpatialFrame
 from plumbline.sources import generators, tables
@@ -174,6 +174,58 @@ def circumcentres(spark, d):
     return t.select("id", u[0].alias("ux"), u[1].alias("uy"), F.round(G.angle_degrees(a, b, c), 4).alias("angle"))
 
 
+@query(f"""{_with(PART_SQL, _TRI)}, v AS (SELECT *, ax - px AS ux, ay - py AS uy, bx - px AS vx, b_y - py AS vy, cx - px AS wx, cy - py AS wy FROM tr),
+ l AS (SELECT *, ux * ux + uy * uy AS uq, vx * vx + vy * vy AS vq, wx * wx + wy * wy AS wq FROM v)
+ SELECT id, round(((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) / nullif(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) * sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)), 0), 6) AS area_share,
+ round(((uy * vq - uq * vy) * wx + (uq * vx - ux * vq) * wy + (ux * vy - uy * vx) * wq) / nullif(sqrt(ux * ux + uy * uy + uq * uq) * sqrt(vx * vx + vy * vy + vq * vq) * sqrt(wx * wx + wy * wy + wq * wq), 0), 6) AS circle_number FROM l""")
+def triangle_shares(spark, d):
+    t, a, b, c, p = _triples(spark, d)
+    return t.select("id", F.round(G.triangle_area_share(a, b, c), 6).alias("area_share"), F.round(G.in_circle_number(a, b, c, p), 6).alias("circle_number"))
+
+
+def _strips(spark, d):
+    """Triangles of three successive points that are not in line, with the number of the point after them."""
+    t, a, b, c, _ = _triples(spark, d)
+    t = t.filter(F.abs(G.triangle_area2(a, b, c)) > 1)
+    return t.select(F.col("id").alias("t"), F.col("id").alias("v0"), (F.col("id") + 1).alias("v1"), (F.col("id") + 2).alias("v2"))
+
+
+def _angle_sql(a, b, c):
+    (ax, ay), (bx, by), (cx, cy) = ((f"{s}x", "b_y" if s == "b" else f"{s}y") for s in (a, b, c))
+    u, v, w, z = f"({bx} - {ax})", f"({by} - {ay})", f"({cx} - {ax})", f"({cy} - {ay})"
+    return f"round(acos(least(greatest(({u} * {w} + {v} * {z}) / (sqrt({u} * {u} + {v} * {v}) * sqrt({w} * {w} + {z} * {z})), -1.0), 1.0)) * (180.0::DOUBLE / 3.14159::DOUBLE), 3)"
+
+
+_STRIPS = "st AS (SELECT * FROM tr WHERE abs((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) > 1)"
+
+
+@query(f"{_with(PART_SQL, _TRI, _STRIPS)} SELECT id AS t, 0 AS k, {_angle_sql('c', 'a', 'b')} AS angle FROM st UNION ALL SELECT id, 1, {_angle_sql('a', 'b', 'c')} FROM st UNION ALL SELECT id, 2, {_angle_sql('b', 'c', 'a')} FROM st")
+def mesh_angles(spark, d):
+    return meshes.far_angles(_strips(spark, d), tables.part(spark, d)).withColumn("angle", F.round("angle", 3))
+
+
+@query(f"""{_with(PART_SQL, _TRI, _STRIPS)} SELECT id AS t, 0 AS k FROM st WHERE (ax - bx) * (py - b_y) - (ay - b_y) * (px - bx) > 0
+ UNION ALL SELECT id, 1 FROM st WHERE (bx - cx) * (py - cy) - (b_y - cy) * (px - cx) > 0 UNION ALL SELECT id, 2 FROM st WHERE (cx - ax) * (py - ay) - (cy - ay) * (px - ax) > 0""")
+def mesh_outside(spark, d):
+    t = _strips(spark, d)
+    return meshes.outside_edges(t, tables.part(spark, d), t.select("t", (F.col("t") + 3).alias("id")))
+
+
+@query(f"""{_with(PART_SQL, _PAIRS, _BOX)} SELECT ia, 25 > lx AND 25 < hx AND 1400 > ly AND 1400 < hy AS strictly, 25 BETWEEN lx - 2 AND hx + 2 AND 1400 BETWEEN ly - 2 AND hy + 2 AS about,
+ lx + 2 >= 10 AND hx - 2 <= 40 AND ly + 2 >= 1000 AND hy - 2 <= 1800 AS in_box, hx - 2 >= 10 AND lx + 2 <= 40 AND hy - 2 >= 1000 AND ly + 2 <= 1800 AS meets_box,
+ abs(lx - ax) <= 1e-7 AND abs(ly - ay) <= 1e-7 AND abs(hx - bx) <= 1e-7 AND abs(hy - b_y) <= 1e-7 AS same,
+ ax - 300 > 25 OR ax + 300 < 25 OR ay - 300 > 1400 OR ay + 300 < 1400 AS outside, (ia & 7) <= 4 AS low_half FROM bx JOIN pr USING (ia)""")
+def slack_predicates(spark, d):
+    a, b, p = _c("ax", "ay"), _c("bx", "b_y"), [F.lit(25.0), F.lit(1400.0)]
+    lo, hi = G.least_coords(a, b), G.greatest_coords(a, b)
+    (wlo, whi), (nlo, nhi) = G.widened(lo, hi, 2.0), G.widened(lo, hi, -2.0)
+    blo, bhi = [F.lit(10.0), F.lit(1000.0)], [F.lit(40.0), F.lit(1800.0)]
+    return _pairs(spark, d).select(
+        "ia", G.strictly_in_box(p, lo, hi).alias("strictly"), G.in_box(p, wlo, whi).alias("about"), G.box_in_box(nlo, nhi, blo, bhi).alias("in_box"), G.boxes_meet(nlo, nhi, blo, bhi).alias("meets_box"),
+        G.same_box(lo, hi, a, b, 1e-7).alias("same"), G.outside_cube(p, a, 300.0).alias("outside"), G.in_low_half(F.col("ia"), 3).alias("low_half"),
+    )
+
+
 # Boxes and balls
 
 
@@ -491,6 +543,41 @@ def incremental_delete(spark, d):
     return out
 
 
+_STEPS = """wi AS (SELECT id, row_number() OVER (ORDER BY id) AS r, count(*) OVER () AS m FROM pt WHERE id % 2 = 1),
+st AS (SELECT greatest(1, max(m) * 3 // 100) AS rows_each, max(m) // 10 AS most FROM wi), sp AS (SELECT s, least(s * rows_each, most) AS upto FROM st, range(1, 100) t(s) WHERE (s - 1) * rows_each < most)"""
+
+
+def _stepped(p: DataFrame, f: SpatialFrame, key: list[str] | None) -> DataFrame:
+    """Counts and sums of ids after each step of 3 % of the odd ids, up to 10 % of them."""
+    batch = p.filter("id % 2 = 1")
+    m, out = batch.count(), None
+    for step, now in increments.by_steps(f, batch, ["id"], max(1, m * 3 // 100), m // 10, key):
+        row = now.points.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).select(F.lit(step).cast("long").alias("step"), "n", "ids")
+        out = row if out is None else out.unionByName(row)
+    return out if out is not None else p.sparkSession.createDataFrame([], "step long, n long, ids long")
+
+
+@query(f"{_with(PART_SQL, _STEPS)} SELECT s AS step, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM sp, (SELECT id, 0 AS r FROM pt WHERE id % 2 = 0 UNION ALL SELECT id, r FROM wi) a WHERE r <= upto GROUP BY s")
+def insert_by_step(spark, d):
+    p = tables.part(spark, d)
+    return _stepped(p, SpatialFrame.build(p.filter("id % 2 = 0"), XY), None)
+
+
+@query(f"{_with(PART_SQL, _STEPS)} SELECT s AS step, count(*) AS n, CAST(sum(p.id) AS BIGINT) AS ids FROM sp, pt p LEFT JOIN wi ON wi.id = p.id WHERE r IS NULL OR r > upto GROUP BY s")
+def delete_by_step(spark, d):
+    p = tables.part(spark, d)
+    return _stepped(p, SpatialFrame.build(p, XY), ["id", "x", "y"])
+
+
+@query(f"{_with(PART_SQL, _asked_sql('pt'))} " + " UNION ALL ".join(f"SELECT CAST({s} AS BIGINT) AS step, * FROM ({_knn_sql('pt', 1, f'id % 10 < {s}')})" for s in (5, 10)))
+def incremental_build_and_query(spark, d):
+    p, out = tables.part(spark, d), None
+    for step, f in increments.grown(p, XY, F.col("id") % 10, 10, 5):
+        rows = knn.pruned(f, _asked(p), 1, "id").select(F.lit(step).cast("long").alias("step"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(f"{_with(PART_SQL, _asked_sql('pt'))} {_knn_sql('pt', 10)}")
 def knn_after_insert(spark, d):
     p = tables.part(spark, d)
@@ -576,7 +663,12 @@ def leaf_size_histogram(spark, d):
     return leaf_stats(spark, d).groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("leaves"))
 
 
-@query(f"{_with(LINEITEM_SQL)} SELECT count(*) AS n_points, CAST(count(*) AS BIGINT) AS n_in_leaves, true AS leaves_hold, true AS sizes_hold FROM li")
+@query(f"{_with(PART_SQL, _SPLIT)} SELECT 2 * count(DISTINCT node) - 1 AS nodes FROM n2")
+def tree_nodes(spark, d):
+    return leaf_stats(spark, d).agg((2 * F.count(F.lit(1)) - 1).alias("nodes"))
+
+
+@query(f"{_with(LINEITEM_SQL)} SELECT count(*) AS n_points,CAST(count(*) AS BIGINT) AS n_in_leaves, true AS leaves_hold, true AS sizes_hold FROM li")
 def validate_tree(spark, d):
     return SpatialFrame.build(tables.lineitem(spark, d), XY, 256).validate().select("n_points", "n_in_leaves", "leaves_hold", "sizes_hold")
 
@@ -748,7 +840,32 @@ def bracket_report(spark, d):
     return tables.part(spark, d).select("id", reports.bracket(F.col("id"), 100, 200).alias("bracket"))
 
 
-# Generators (no SQL)
+_LINES = "ln AS (SELECT id, id || ' ' || CAST(CAST(x AS BIGINT) AS VARCHAR) AS value, row_number() OVER (ORDER BY id) AS r FROM pt)"
+
+
+def _lines(spark, d):
+    return tables.part(spark, d).select("id", F.concat_ws(" ", "id", F.col("x").cast("long")).alias("value"))
+
+
+@query(f"{_with(PART_SQL, _LINES)} SELECT id, coalesce(CAST({list(reports.RATIOS)}[r // 2] AS VARCHAR), '') || ' ' || value AS value FROM ln WHERE r % 2 = 0")
+def even_lines_report(spark, d):
+    return reports.even_lines(_lines(spark, d), ["id"])
+
+
+@query(f"{_with(PART_SQL, _LINES)} SELECT id, replace(value, ' ', ',') AS value FROM ln")
+def comma_report(spark, d):
+    return _lines(spark, d).select("id", reports.with_commas(F.col("value")).alias("value"))
+
+
+# Generators
+
+
+@query(f"{_with(PART_SQL)} SELECT id, CAST(floor(CAST('0x' || substr(md5('1|' || CAST(id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * 97) AS BIGINT) + 3 AS i FROM pt")
+def random_indexes(spark, d):
+    return tables.part(spark, d).select("id", generators.random_index(3, 100, "id").alias("i"))
+
+
+# Without SQL
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,12 @@ def uniform(spark: SparkSession, n: int, d: int, most: int = 1_000_000, least: i
     return spark.range(n).select("id", *[(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(span)) + least).cast("double").alias(f"x{k}") for k in range(d)])
 
 
+def random_index(least: int, below: int, *of: str, seed: int = 1) -> Column:
+    """A whole number from ``least`` on and less than ``below``, told by some columns: 52 bits of a digest that any engine has."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *of)), 1, 13), 16, 10).cast("long") / float(1 << 52)
+    return F.floor(drawn * (below - least)).cast("long") + least
+
+
 def clustered(spark: SparkSession, n: int, d: int, clusters: int = 20, most: int = 100_000, seed: int = 1) -> DataFrame:
     """Points of varying density: each falls towards a seeded centre by a power of a uniform draw."""
     def unit(*parts):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
-from plumbline.operators import graphs, knn, meshes, mutate, partition, ranges
+from plumbline.operators import graphs, increments, knn, meshes, mutate, partition, ranges
 from plumbline.operators.ordering import numbered, value_at_rank
 from plumbline.operators.partition import SpatialFrame
 from plumbline.sources import generators, text_formats
@@ -253,6 +253,33 @@ def test_validate_finds_planted_faults(spark):
         assert not SpatialFrame(moved, f.dims, f.splits).validate().first()["leaves_hold"]
 
 
+def test_splits_tell_their_nodes_and_turns(spark):
+    p = spark.range(500).select("id", (F.col("id") % 25).cast("double").alias("x"), F.floor(F.col("id") / 25).cast("double").alias("y"))
+    s = SpatialFrame.build(p, ["x", "y"], 8, "rotate").splits
+    assert s.node_count() == 2 * len(s.cells()) - 1 == 15
+    assert s.out_of_turn() == []
+    s.nodes[3] = (0, s.nodes[3][1])
+    assert s.out_of_turn() == [3]
+    assert partition.Splits(["x"]).node_count() == 1
+
+
+def test_steps_take_the_first_rows_and_no_more(spark):
+    p = frame(spark, [(i, i) for i in range(20)])
+    f = SpatialFrame.build(p.filter("id < 10"), ["x", "y"], 4)
+    got = [(k, now.points.count()) for k, now in increments.by_steps(f, p.filter("id >= 10"), ["id"], 3, 7)]
+    assert got == [(1, 13), (2, 16), (3, 17)]
+    gone = [sorted(r["id"] for r in now.points.collect()) for _, now in increments.by_steps(f, p, ["id"], 4, 6, ["id"])]
+    assert gone == [list(range(4, 10)), list(range(6, 10))]
+    assert list(increments.by_steps(f, p, ["id"], 3, 0)) == []
+
+
+def test_rotated_triangles_have_the_same_neighbours(spark):
+    t = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 3, 2)], "t long, v0 long, v1 long, v2 long")
+    before = {(r["t"], r["k"]): r["other"] for r in meshes.neighbours(t).collect()}
+    after = {(r["t"], (r["k"] + 1) % 3): r["other"] for r in meshes.neighbours(meshes.rotated(t)).collect()}
+    assert before == after
+
+
 def test_neighbours_without_a_product_of_queries_and_leaves(spark):
     p = spark.range(2000).select("id", (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 97).cast("double").alias("y"))
     q = p.filter("id % 50 = 0").select(F.col("id").alias("qid"), "x", "y")
