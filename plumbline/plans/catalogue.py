@@ -176,11 +176,11 @@ def circumcentres(spark, d):
 
 @query(f"""{_with(PART_SQL, _TRI)}, v AS (SELECT *, ax - px AS ux, ay - py AS uy, bx - px AS vx, b_y - py AS vy, cx - px AS wx, cy - py AS wy FROM tr),
  l AS (SELECT *, ux * ux + uy * uy AS uq, vx * vx + vy * vy AS vq, wx * wx + wy * wy AS wq FROM v)
- SELECT id, round(((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) / nullif(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) * sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)), 0), 6) AS area_share,
- round(((uy * vq - uq * vy) * wx + (uq * vx - ux * vq) * wy + (ux * vy - uy * vx) * wq) / nullif(sqrt(ux * ux + uy * uy + uq * uq) * sqrt(vx * vx + vy * vy + vq * vq) * sqrt(wx * wx + wy * wy + wq * wq), 0), 6) AS circle_number FROM l""")
+ SELECT id, ((bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax)) / nullif(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) * sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay)), 0) AS area_share,
+ ((uy * vq - uq * vy) * wx + (uq * vx - ux * vq) * wy + (ux * vy - uy * vx) * wq) / nullif(sqrt(ux * ux + uy * uy + uq * uq) * sqrt(vx * vx + vy * vy + vq * vq) * sqrt(wx * wx + wy * wy + wq * wq), 0) AS circle_number FROM l""")
 def triangle_shares(spark, d):
     t, a, b, c, p = _triples(spark, d)
-    return t.select("id", F.round(G.triangle_area_share(a, b, c), 6).alias("area_share"), F.round(G.in_circle_number(a, b, c, p), 6).alias("circle_number"))
+    return t.select("id", G.triangle_area_share(a, b, c).alias("area_share"), G.in_circle_number(a, b, c, p).alias("circle_number"))
 
 
 def _strips(spark, d):
