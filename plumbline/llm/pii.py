@@ -11,8 +11,8 @@ remainder by 97. Base spans are also shown masked, as they would look where thei
 without its plus, an address written out. So a span that no base pattern finds can be positive; as such spans in the text
 count as negative, a form is reported only while it is much rarer than its masked likeness.
 
-The examples come from a bounded sample of about ``TRAIN_DOCS`` documents, chosen by hash. Half of them fit the trees; the
-other half calibrates, per generator, the lowest score at which at least ``PRECISION`` of the examples are positive.
+The examples come from all documents, dealt by hash into halves. One half fits the trees; the other calibrates, per
+generator, the lowest score at which at least ``PRECISION`` of the examples are positive.
 Candidates from there on are reported unless a base span overlaps them; a generator without enough evidence reports nothing.
 Examples reach the driver only as counts by feature vector, at most
 ``VECTORS`` of them by the features' ranges. Base spans, candidates and scores are expressions over every whole text: no
@@ -47,7 +47,6 @@ X_NUMBER = r"(?<![A-Za-z0-9_])[+(]{0,2}[0-9][0-9\x20().,/-]{5,}[0-9]"
 X_CODE = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])++(?![A-Za-z0-9])"
 CONTEXT = r"(?i:mail|phone|tel|call|fax|mobile|contact|card|visa|iban|account|ssn|passport|ip|host|address)"
 
-TRAIN_DOCS = 20_000
 ROUNDS, RATE, SMOOTH = 24, 0.3, 1.0
 PRECISION, LEAST = 0.9, 20
 
@@ -252,18 +251,15 @@ def cutoffs(model: Boosted, rows: list[tuple[tuple[int, ...], float, float]]) ->
     return out
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Boosted, dict[int, float]]:
-    """Trees and cutoffs learned from the two halves of about ``train_docs`` documents."""
-    parts = 1_000_000
-    share = min(parts, math.ceil(parts * train_docs / max(docs.count(), 1)))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)) < share)
+def fit(docs: DataFrame) -> tuple[Boosted, dict[int, float]]:
+    """Trees and cutoffs learned from the two halves of all documents."""
     fits = (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).alias("fits")
 
     def of(t: Column) -> Column:
         both = F.struct(S.in_order(base_spans(t)).alias("base"), described(t, S.in_order(candidates(t))).alias("found"))
         return let(both, lambda f: F.when(F.size(f["found"]) > 0, examples(f["found"], S.touches(f["found"], f["base"]))))
 
-    rows = sample.select(fits, let(S.unmarked(text_or_empty(F.col("text"))), of).alias("e"))
+    rows = docs.select(fits, let(S.unmarked(text_or_empty(F.col("text"))), of).alias("e"))
     # outer, as for an inner one Spark would evaluate the examples once more in a filter before it
     rows = rows.select("fits", F.explode_outer("e").alias("r")).filter("r is not null")
     counted = rows.groupBy("fits", "r.y", *[F.col(f"r.x.{k}").alias(k) for k in FEATURES]).agg(F.count(F.lit(1)).alias("c")).collect()
@@ -298,9 +294,9 @@ def scan(text: Column, model: Boosted, least: dict[int, float]) -> Column:
     return let(S.unmarked(text_or_empty(text)), of)
 
 
-def find(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    rows = docs.select("doc_id", scan(F.col("text"), *fit(docs, train_docs)).alias("f"))
+    rows = docs.select("doc_id", scan(F.col("text"), *fit(docs)).alias("f"))
     return rows.select(
         "doc_id",
         *[S.count_of(F.col("f.base"), k).alias(f"n_{KINDS[k]}") for k in range(BASE)],

@@ -726,3 +726,12 @@ def test_pipeline_stages(spark, edges, tmp_path):
         out.write.parquet(str(tmp_path / str(i)))
         rows = spark.read.parquet(str(tmp_path / str(i)))
     assert "n_tokens" in rows.columns
+
+
+def test_personal_data_models_and_cutoffs_come_from_all_documents(spark, monkeypatch):
+    seen = []
+    fitted, cut = pii.Boosted.__init__, pii.cutoffs
+    monkeypatch.setattr(pii.Boosted, "__init__", lambda self, rows: (seen.append(sum(p + n for _, p, n in rows)), fitted(self, rows))[1])
+    monkeypatch.setattr(pii, "cutoffs", lambda model, rows: (seen.append(sum(p + n for _, p, n in rows)), cut(model, rows))[1])
+    pii.fit(spark.range(30000).select(F.col("id").alias("doc_id"), F.concat(F.lit("number 12-34-"), (F.col("id") % 9000 + 1000).cast("string")).alias("text")))
+    assert sum(seen) == 30000 and min(seen) > 14000
