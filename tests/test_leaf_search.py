@@ -11,6 +11,7 @@ from plumbline.plans import catalogue
 
 SEARCHES = [
     "knn_self",
+    "knn_exclude_self",
 ]
 
 
