@@ -12,6 +12,7 @@ from plumbline.plans import catalogue
 SEARCHES = [
     "knn_self",
     "knn_exclude_self",
+    "knn_graph",
 ]
 
 
