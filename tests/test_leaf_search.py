@@ -13,6 +13,7 @@ SEARCHES = [
     "knn_self",
     "knn_exclude_self",
     "knn_graph",
+    "knn_graph_offsets",
 ]
 
 
