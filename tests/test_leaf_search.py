@@ -14,6 +14,7 @@ SEARCHES = [
     "knn_exclude_self",
     "knn_graph",
     "knn_graph_offsets",
+    "knn_reverse_degree",
 ]
 
 
