@@ -17,6 +17,7 @@ SEARCHES = [
     "knn_reverse_degree",
     "knn_1",
     "knn_100",
+    "knn_after_delete",
 ]
 
 
