@@ -18,6 +18,7 @@ SEARCHES = [
     "knn_1",
     "knn_100",
     "knn_after_delete",
+    "knn_after_rebalance",
 ]
 
 
