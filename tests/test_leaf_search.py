@@ -19,6 +19,7 @@ SEARCHES = [
     "knn_100",
     "knn_after_delete",
     "knn_after_rebalance",
+    "knn_after_insert",
 ]
 
 
