@@ -20,6 +20,7 @@ SEARCHES = [
     "knn_after_delete",
     "knn_after_rebalance",
     "knn_after_insert",
+    "knn_bichromatic",
 ]
 
 
