@@ -21,6 +21,7 @@ SEARCHES = [
     "knn_after_rebalance",
     "knn_after_insert",
     "knn_bichromatic",
+    "knn_remote",
 ]
 
 
