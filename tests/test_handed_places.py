@@ -12,6 +12,7 @@ SEARCHES = [
     "knn_graph",
     "knn_graph_offsets",
     "knn_reverse_degree",
+    "knn_1",
 ]
 
 
