@@ -13,6 +13,7 @@ SEARCHES = [
     "knn_graph_offsets",
     "knn_reverse_degree",
     "knn_1",
+    "knn_100",
 ]
 
 
