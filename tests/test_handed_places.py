@@ -14,6 +14,7 @@ SEARCHES = [
     "knn_reverse_degree",
     "knn_1",
     "knn_100",
+    "knn_after_insert",
 ]
 
 
