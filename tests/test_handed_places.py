@@ -15,6 +15,7 @@ SEARCHES = [
     "knn_1",
     "knn_100",
     "knn_after_insert",
+    "knn_bichromatic",
 ]
 
 
