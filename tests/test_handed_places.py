@@ -16,6 +16,7 @@ SEARCHES = [
     "knn_100",
     "knn_after_insert",
     "knn_bichromatic",
+    "knn_remote",
 ]
 
 
