@@ -17,6 +17,7 @@ SEARCHES = [
     "knn_after_insert",
     "knn_bichromatic",
     "knn_remote",
+    "kth_distance",
 ]
 
 
